@@ -27,6 +27,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_token_id_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.grammar import encode_and_read
+
+    return encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.common import only
+    from lodestone.llm.pii import pseudonymise
+
+    return pseudonymise(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import only
     from lodestone.llm.rules import MEASURES, judge
@@ -35,7 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op5_token_id_grammar, op8_pii_pseudonyms, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
