@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    # A batch for a Python worker is bounded by its bytes, however long the texts are.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.substring import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.wordpiece import count_tokens
 
@@ -48,7 +61,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op5_token_id_grammar, op8_pii_pseudonyms, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op8_pii_pseudonyms, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
