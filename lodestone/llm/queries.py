@@ -46,6 +46,12 @@ def op5_token_id_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.lm import learn_and_score
 
@@ -67,7 +73,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op6_benchmark_decontamination, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
