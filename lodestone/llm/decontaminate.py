@@ -278,6 +278,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents in which an item was found; their columns as they are. Rows with a null doc_id are matched by their text."""
-    named = docs.withColumn("_uid", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    hit = settle(find_items(named.select("_uid", "text"), benchmark, uid="_uid", **options).select("_uid").distinct())
-    return named.join(hit, "_uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("uid"), "text")
+    hit = settle(find_items(named.select("uid", "text"), benchmark, uid="uid", **options).select("uid").distinct())
+    return named.drop("text").join(hit, "uid", "left_anti").select("row.*")

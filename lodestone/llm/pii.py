@@ -163,8 +163,9 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     replaced = "case x.kind " + " ".join(f"when '{name}' then {f('x.value', k)}" for name, f in makers.items()) + " else x.value end"
     any_ = _sql(ANY)
     names = [c for c in docs.columns if c not in {f"n_{n}" for n in makers}]
-    df = docs.selectExpr(*[f"`{c}`" for c in names], f"if(`{text}` rlike '[0-9@]|[\"\\'][a-fA-F]{{32}}', regexp_extract_all(`{text}`, {any_}, 0), cast(array() as array<string>)) as _m")
-    df = df.selectExpr(*[f"`{c}`" for c in names], f"transform(_m, m -> named_struct('value', m, 'kind', {_kind('m')})) as _m")
-    df = df.selectExpr(*[f"`{c}`" for c in names], "_m", f"transform(_m, x -> {replaced}) as _r")
-    joined = f"if(size(_m) > 0, array_join(flatten(zip_with(split(`{text}`, {any_}, -1), _r, (a, b) -> array(a, coalesce(b, '')))), ''), `{text}`)"
-    return df.selectExpr(*[f"{joined} as `{c}`" if c == text else f"`{c}`" for c in names], *[f"cast(coalesce(size(filter(_m, x -> x.kind = '{n}')), 0) as bigint) as n_{n}" for n in makers])
+    df = docs.selectExpr("struct(*) as row", f"`{text}` as t")
+    df = df.selectExpr("row", "t", f"if(t rlike '[0-9@]|[\"\\'][a-fA-F]{{32}}', regexp_extract_all(t, {any_}, 0), cast(array() as array<string>)) as m")
+    df = df.selectExpr("row", "t", f"transform(m, m -> named_struct('value', m, 'kind', {_kind('m')})) as m")
+    df = df.selectExpr("row", "t", "m", f"transform(m, x -> {replaced}) as r")
+    joined = f"if(size(m) > 0, array_join(flatten(zip_with(split(t, {any_}, -1), r, (a, b) -> array(a, coalesce(b, '')))), ''), t)"
+    return df.selectExpr(*[f"{joined} as `{c}`" if c == text else f"row.`{c}` as `{c}`" for c in names], *[f"cast(coalesce(size(filter(m, x -> x.kind = '{n}')), 0) as bigint) as n_{n}" for n in makers])

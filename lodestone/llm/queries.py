@@ -69,11 +69,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import only
     from lodestone.llm.rules import MEASURES, judge
 
-    return judge(only(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", *MEASURES, "base_failed", "kept")
+    return judge(only(table(spark, sf_dir, "documents"), "doc_id", "text")).select("row.doc_id", *MEASURES, "base_failed", "kept")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.jaccard import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op6_benchmark_decontamination, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op6_benchmark_decontamination, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,9 +60,10 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measures: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shouted, n_stop, n_stutter (all long)."""
+    """row (a struct of the columns of docs) and the measures of its text: n_words, word_chars, n_symbols, n_lines,
+    n_dup_lines, n_repeat_words, n_shouted, n_stop, n_stutter (all long)."""
     space = WORD_SPACE.replace("\\", "\\\\")
-    df = docs.withColumn("_t", F.expr(f"coalesce(`{text}`, '')"))
+    df = docs.selectExpr("struct(*) as row", f"coalesce(`{text}`, '') as _t")
     df = df.withColumn("_w", F.expr(f"filter(split(_t, '{space}'), w -> w <> '')"))
     df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     df = df.withColumn("_n", F.expr("size(_w)"))
@@ -73,7 +74,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     symbols = "".join(SYMBOLS)
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return df.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "row",
+        # Not known before it runs, so no filter on a measure is moved below it, where Spark would compute the lists again for every use.
+        F.rand(0).alias("barrier"),
         F.expr("cast(_n as bigint)").alias("n_words"),
         F.expr(f"cast(length(regexp_replace(_t, '{space}', '')) as bigint)").alias("word_chars"),
         F.expr(f"cast(length(_t) - length(translate(_t, '{symbols}', '')) as bigint)").alias("n_symbols"),
@@ -88,10 +91,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """measure(), base_failed (fewer than ten words, or over a fifth of the words in repeated 5-word windows) and kept."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")) | (F.col("barrier") < 0)
     return measure(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, as they are."""
+    return judge(docs, text, rules).filter("kept").select("row.*")
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted", "n_stop", "n_stutter")
 
 
