@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a worker remembers (about 250 bytes each) before it starts anew.
-MEMORY = 900_000
+MEMORY = 1_300_000
 PER_CALL = 100
 _START, _NEWLINE = "\0", "\n"
 LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+[,.]?").fullmatch
@@ -30,6 +30,17 @@ def _spelling() -> dict[int, str]:
 SPELLING = _spelling()
 
 
+class Places(dict):
+    """Piece -> its number; pieces not met before get the next numbers and are listed in new."""
+
+    new: list[str]
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of texts as uint32 arrays. Null and empty texts have none."""
 
@@ -48,7 +59,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.pool = np.zeros(1 << 16, "<u4")
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -116,23 +127,14 @@ class Encoder:
     def encode(self, texts) -> list[np.ndarray]:
         if len(self.place) > self.memory:
             self.clear()
-        place, new, found = self.place, [], []
+        place, found = self.place, []
+        place.new = new = []
+        look = place.__getitem__
         for text in texts:
             if not text or not self.together or _START in text:
                 found.append(None)
-                continue
-            parts = (_START + text.replace(_NEWLINE, f" {_NEWLINE} {_START}")).split(" ")
-            try:
-                found.append(list(map(place.__getitem__, parts)))
-            except KeyError:
-                own = []
-                for p in parts:
-                    i = place.get(p)
-                    if i is None:
-                        i = place[p] = len(place)
-                        new.append(p)
-                    own.append(i)
-                found.append(own)
+            else:
+                found.append(np.fromiter(map(look, (_START + text.replace(_NEWLINE, f" {_NEWLINE} {_START}")).split(" ")), np.int64))
         if new:
             self._learn(new)
         out = []
@@ -140,7 +142,6 @@ class Encoder:
             if places is None:
                 out.append(self.whole(text) if text else np.zeros(0, "<u4"))
                 continue
-            places = np.array(places, dtype=np.int64)
             sizes = self.size[places]
             if sizes.min() < 0:
                 out.append(self.whole(text))
