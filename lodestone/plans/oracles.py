@@ -162,7 +162,7 @@ count(*) filter (where doc_id not in (select doc_id from labels) and length(trim
 count(*) filter (where doc_id not in (select doc_id from labels) and length(trim(text)) >= 80 and nd + nr > 0) as with_entities from cnt""",
         "finalize_entities": f"with {_SCORED} select doc_id, n - nn as n_left, nn as removed from sc",
         "label_vocabulary": "select * from (values " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(BIO_LABELS)) + ") t(label_id, label)",
-        "span_scores": f"with {_COUNTS} select 1.0 as precision, round(sum(nd) / sum(nd + nr), 6) as recall, round(2 * sum(nd) / (sum(nd) + sum(nd + nr)), 6) as f1 from cnt",
+        "span_scores": f"with {_COUNTS} select 1.0::double as precision, round(sum(nd) / sum(nd + nr), 6) as recall, round(2 * sum(nd) / (sum(nd) + sum(nd + nr)), 6) as f1 from cnt",
         "format_context": f"""select conv_id, chr(10) || chr(10) || string_agg('[SOURCE ' || turn || ']' || chr(10) || 'file: ' || role || chr(10) || 'page: ' || turn || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'text:' || chr(10) || text,
 chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as context from ({_TURN}) group by conv_id""",
         "source_list": f"select conv_id, string_agg(role || ',' || turn || ',' || chunk_id, '|' order by turn) as sources from ({_TURN}) group by conv_id",
