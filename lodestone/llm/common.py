@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ready
+
 #: Words are runs of characters other than ASCII white space, as a Java pattern.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, however the driver found it."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    # A batch for a Python worker is bounded by its bytes, however long the texts are.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,4 +38,5 @@ def settle(df: DataFrame) -> DataFrame:
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns in this order; extra columns, whatever their names, are left out."""
+    ready(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
