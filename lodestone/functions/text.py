@@ -44,7 +44,8 @@ def searchable(c: Column | str) -> Column:
 def tokens(c: Column | str) -> Column:
     """Lexical tokens; a text without any has one sentinel, so it counts in lengths."""
     found = F.regexp_extract_all(searchable(c), F.lit(TOKEN), F.lit(0))
-    return F.when(F.size(found) == 0, F.array(F.lit(EMPTY))).otherwise(found)
+    # Bound through a one-element array, so the pattern runs once.
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array(F.lit(EMPTY))).otherwise(f))[0]
 
 
 def query_tokens(c: Column | str) -> Column:
