@@ -9,12 +9,15 @@ slice, so a document that enters the regions of one slice more than that shares
 with every set it links with. Sets near a border of the size classes, which decide how
 many slices there are, are replicated into the next class.
 
-Within a region the second level is the textbook one: the smallest member is the pivot,
-all members are measured against it, those in its ball are settled, and by the triangle
-inequality two members can only link if their distances to the pivot differ by no more
-than the link distance. Regions whose members are not yet one component recur with the
-next pivot; what is left after ``PIVOT_ROUNDS`` is compared pair by pair, without those
-already in one component. Equal sets are one class from the start, so copies are never
+The second level is the textbook one: of each region the most central member, the one
+that meets most others in its regions, is the pivot, and all members are measured
+against it. What has one pivot is its Voronoi cell, and border members are in several
+cells. Members in the pivot's ball are settled as one component. The others recur within
+the cell: by the triangle inequality two members can only link if their distances to the
+pivot differ by no more than the link distance, counts of shingles in buckets bound
+their distance from below, and what is left is measured exactly, without pairs already
+in one component. A large cell is compared in pairs of blocks, each in its own task.
+Equal sets are one class from the start, so copies are never
 paired.
 
 Defined results: texts without words have the empty set, link with nothing and are
@@ -37,9 +40,12 @@ from lodestone.llm.common import only, settle
 from lodestone.llm.graph import components
 
 WORDS, LINK = 4, 85
-PIVOT_ROUNDS = 3
-#: Sets below this size whose slices are too often empty are joined by single shingles.
-SMALL = 64
+#: Members of a cell that one task compares with as many others.
+BLOCK = 2000
+#: From this size class on, slices of one shingle don't count.
+LARGE = 256
+#: Buckets of the shingle counts that bound a pair's difference from below.
+BUCKETS = 256
 #: Bits of the filters that workers hold; a fuller filter lets more rows pass and changes no result.
 FILTER_BITS, BITS_A_WORD = 1 << 24, 63
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,29 +84,36 @@ def most_different(n: int, link: int = LINK) -> int:
     return int((100 - link) * (n + n * 100 / link) / (100 + link) + 1e-9)
 
 
-def slices_of(size_class: int, link: int = LINK) -> int:
-    """Slices of the sets with 2**size_class to 2**(size_class + 1) - 1 shingles."""
-    need = most_different((2 << size_class) - 1, link)
-    return 1 if not need else need + need // 2 + 8
+#: The least size of each size class: half octaves.
+BOUNDS = np.unique(np.ceil(2.0 ** (np.arange(90) / 2)).astype(np.int64))
+
+
+def slices_of(most: int, link: int = LINK) -> int:
+    """Slices of the sets of a size class, from its largest size."""
+    need = most_different(most, link)
+    return 1 if not need else need + need // 4 + 6
 
 
 def regions(h: np.ndarray, link: int = LINK) -> tuple[np.ndarray, bool]:
-    """Hashes of the regions that a set enters, and whether it has too few slices that are not empty."""
+    """Hashes of the regions that a set enters, and whether it has too few slices that count.
+    Empty slices don't count, and in larger sets those of one shingle don't either: what is
+    equal in two sets counts in both, so the first slices that count, one more than can
+    differ, hold one that two linked sets share."""
     n, out, odd = len(h), [], False
     if not n:
         return np.zeros(0, np.uint64), False
-    own = n.bit_length() - 1
+    own = int(np.searchsorted(BOUNDS, n, side="right")) - 1
     # The window of the next size class: sets as large as what this one may link with.
-    classes = [own] + [own + 1] * (n * 100 >= link * (2 << own))
+    last = int(np.searchsorted(BOUNDS, n * 100 // link, side="right")) - 1
     need = most_different(n, link) + 1
-    for c in classes:
-        m = slices_of(c, link)
+    for c in range(own, last + 1):
+        m = slices_of(int(BOUNDS[c + 1]) - 1, link)
         place = (_mix(h ^ _B) % np.uint64(m)).astype(np.int64)
         held = np.bincount(place, minlength=m)
         order = np.argsort(place, kind="stable")
         ends = np.cumsum(held)
         total = np.append(np.uint64(0), np.cumsum(_mix(h + _A)[order]))
-        full = np.flatnonzero(held)
+        full = np.flatnonzero(held >= (2 if BOUNDS[c] >= LARGE else 1))
         odd |= len(full) < need
         full = full[:need]
         sums = total[ends[full]] - total[ends[full] - held[full]]
@@ -108,10 +121,10 @@ def regions(h: np.ndarray, link: int = LINK) -> tuple[np.ndarray, bool]:
     return np.concatenate(out), odd
 
 
-def single(h: np.ndarray, link: int = LINK) -> np.ndarray:
-    """For small sets: single shingles of which two sets that link share one."""
+def single(h: np.ndarray, most: int, link: int = LINK) -> np.ndarray:
+    """For sets up to a size: single shingles of which two sets that link share one."""
     n = len(h)
-    return _mix(h[: n - -(-n * link // 100) + 1] + _B) if 0 < n < SMALL * 100 // link + 1 else np.zeros(0, np.uint64)
+    return _mix(h[: n - -(-n * link // 100) + 1] + _B) if 0 < n <= most else np.zeros(0, np.uint64)
 
 
 def prints(h: np.ndarray, seed: int) -> tuple[int, int]:
@@ -124,7 +137,12 @@ def prints(h: np.ndarray, seed: int) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-DOCS = "doc_id long, n long, node long, twin long, odd boolean, regions array<long>"
+def counts(h: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket (255: so many or more)."""
+    return np.minimum(np.bincount((_mix(h + _B) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+DOCS = "doc_id long, n long, node long, twin long, odd boolean, regions array<long>, counts binary"
 
 
 def summarise(docs: DataFrame, n: int, link: int, seed: int) -> DataFrame:
@@ -133,19 +151,20 @@ def summarise(docs: DataFrame, n: int, link: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, nodes, twins, odds, lists = [], [], [], [], []
+            sizes, nodes, twins, odds, lists, held = [], [], [], [], [], []
             if len(seen) > 1_000_000:
                 seen.clear()
             for text in batch.column(1).to_pylist():
                 h = shingles(text, n)
                 node, twin = prints(h, seed)
                 own, odd = (np.zeros(0, np.uint64), False) if node in seen else regions(h, link)
+                held.append(None if node in seen or not len(h) else counts(h))
                 seen.add(node)
                 for into, x in ((sizes, len(h)), (nodes, node), (twins, twin), (odds, odd), (lists, own.view(np.int64))):
                     into.append(x)
             offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
             flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array(odds, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "node", "twin", "odd", "regions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array(odds, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(held, pa.binary())], ["doc_id", "n", "node", "twin", "odd", "regions", "counts"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, DOCS)
 
@@ -170,11 +189,41 @@ def _spot(name: str):
     return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).alias("_spot")
 
 
+def _close_pairs(link: int):
+    """A function of a group of members of a cell (of one block, or of two): the pairs that may link and are not in one component."""
+    reach, at_once = (100 - link) / 100 + 1e-9, 1 << 16
+
+    def run(group: pa.Table) -> pa.Table:
+        node, n, root, own = (group.column(c).to_numpy() for c in ("node", "n", "root", "own"))
+        d = group.column("d").to_numpy(zero_copy_only=False).astype(float)  # not measured: not a number
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        two = len(group) and group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        step, out_a, out_b = max(1, at_once // max(1, len(node))), [], []
+        for lo in range(0, len(node), step):
+            x = slice(lo, lo + step)
+            fine = (root[x, None] != root[None]) & (node[x, None] < node[None])
+            fine &= np.minimum(n[x, None], n[None]) * 100 >= np.maximum(n[x, None], n[None]) * link
+            fine &= ~(np.abs(d[x, None] - d[None]) > reach)  # by the triangle inequality
+            if two:
+                fine &= own[x, None] != own[None]
+            i, j = np.nonzero(fine)
+            i += lo
+            ci, cj = counts[i], counts[j]
+            differ = np.where((ci < 255) & (cj < 255), np.abs(ci - cj), 0).sum(axis=1)
+            ok = 100 * (n[i] + n[j] - differ) >= link * (n[i] + n[j] + differ)
+            out_a.append(np.minimum(node[i[ok]], node[j[ok]]))
+            out_b.append(np.maximum(node[i[ok]], node[j[ok]]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([*out_a, none]), "b": np.concatenate([*out_b, none])})
+
+    return run
+
+
 class Join:
     """The join of one table of documents."""
 
-    def __init__(self, docs: DataFrame, n: int = WORDS, link: int = LINK, rounds: int = PIVOT_ROUNDS):
-        self.docs, self.n, self.link, self.rounds = only(docs, "doc_id", "text"), n, link, rounds
+    def __init__(self, docs: DataFrame, n: int = WORDS, link: int = LINK):
+        self.docs, self.n, self.link = only(docs, "doc_id", "text"), n, link
         for seed in range(1, 9):
             self.seed = seed
             self.all = settle(summarise(self.docs, n, link, seed))
@@ -184,11 +233,13 @@ class Join:
         raise RuntimeError("fingerprints of different sets are equal under eight seeds")
 
     def members(self) -> DataFrame:
-        """(region, node, pivot) of the regions with more than one node; pivot is the smallest."""
+        """(region, node, weight, pivot) of the regions with more than one node. weight: how often a node meets others; the heaviest is the pivot."""
         entered = self.all.select("node", F.explode("regions").alias("region"))
-        if not self.all.filter("odd").isEmpty():
-            entered = entered.unionByName(self._singles())
-        shared = settle(entered.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("hi")).filter("pivot < hi").drop("hi"))
+        # Sets with too few slices, if there are any, are joined by single shingles instead.
+        most = self.all.filter("odd").agg(F.max("n").alias("n")).first()["n"]
+        if most is not None:
+            entered = entered.unionByName(self._singles(most * 100 // self.link))
+        shared = settle(entered.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("region"))
         packed = self.docs.sparkSession.sparkContext.broadcast(filter_of(shared, "region"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +247,19 @@ class Join:
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["region", "node"]).filter(_held(packed.value, batch.column(2).to_numpy()))
 
         met = entered.select("region", "node", _spot("region")).mapInArrow(run, "region long, node long")
-        return settle(met.join(shared, "region").distinct())
+        inside = settle(met.join(shared, "region").distinct())
+        size = inside.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        weight = inside.join(size, "region").groupBy("node").agg(F.sum("size").alias("weight"))
+        weighed = inside.join(weight, "node")
+        return settle(weighed.join(weighed.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("m")).select("region", F.col("m.node").alias("pivot")), "region"))
 
-    def _singles(self) -> DataFrame:
+    def _singles(self, most: int) -> DataFrame:
         n, link, seed = self.n, self.link, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
-                lists = [single(h, link).view(np.int64) for h in sets]
+                lists = [single(h, most, link).view(np.int64) for h in sets]
                 nodes = np.repeat(np.array([prints(h, seed)[0] for h in sets], np.int64), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], ["node", "region"])
 
@@ -226,48 +281,60 @@ class Join:
         found = self.docs.select("text", _spot("doc_id")).mapInArrow(run, "node long, set array<long>")
         return settle(found.join(want.select("node"), "node").groupBy("node").agg(F.first("set").alias("set")))
 
-    def measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs (a, b) with common, the shingles of both, and either, those of one or both."""
+    def counts(self) -> DataFrame:
+        """(node, counts) of every node; each of its documents has the same."""
+        if not hasattr(self, "_counts"):
+            self._counts = settle(self.all.filter("counts is not null").groupBy("node").agg(F.first("counts").alias("counts")))
+        return self._counts
+
+    def measured(self, pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
+        """Distinct pairs (a, b) with common, the shingles of both, and either, those of one or both.
+        Pairs whose sizes rule a link out, and those done before, are left out."""
+        size = self.nodes.select("node", "n")
+        sized = pairs.distinct().join(size.selectExpr("node as a", "n as na"), "a").join(size.selectExpr("node as b", "n as nb"), "b")
+        possible = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.link)
+        if done is not None:
+            possible = possible.join(done, ["a", "b"], "left_anti")
+        # What bucket counts differ by, the sets differ by at least.
+        held = self.counts()
+        both = possible.join(held.selectExpr("node as a", "counts as ca"), "a").join(held.selectExpr("node as b", "counts as cb"), "b")
+        link = self.link
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ca, cb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (4, 5))
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                differ = np.where((ca < 255) & (cb < 255), np.abs(ca - cb), 0).sum(axis=1)
+                # common = (na + nb - differ) / 2 at most, either is the rest
+                ok = 100 * (na + nb - differ) >= link * (na + nb + differ)
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(pa.array(ok))
+
+        pairs = settle(both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(close, "a long, b long, na long, nb long"))
+        sets = self.sets(pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")))
         x = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        met = x.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
-        return settle(met.select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
+        return settle(x.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("both")).select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
 
     def links(self) -> DataFrame:
         """(a, b): links between nodes that leave no linked nodes in different components."""
         members = self.members()
-        pairs = members.filter("node <> pivot").selectExpr("pivot as a", "node as b").distinct()
         linked = F.col("common") * 100 >= F.col("either") * self.link
-        sets = self.sets(members.select("node"))
-        near = self.measured(pairs, sets)
+        near = self.measured(members.filter("node <> pivot").selectExpr("pivot as a", "node as b"))
         links = near.filter(linked).select("a", "b")
-        # Distances to the region's pivot stay with its members for the triangle inequality.
+        roots = components(links)
+        # The Voronoi region of a pivot: the members of all regions it is the pivot of, with their distance to it where
+        # it was measured, and their component.
         distance = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
-        open_ = members.join(distance, ["pivot", "node"], "left").select("region", "node", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("node") == F.col("pivot")).alias("done"))
-        done = near.select("a", "b")
-        reach = (100 - self.link) / 100 + 1e-9
-        for k in range(self.rounds + 1):
-            roots = components(links)
-            own = open_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # Regions of more than one component that hold a node not yet compared with the others.
-            split = own.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.when(~F.col("done"), 1)).alias("left"), F.min(F.when(~F.col("done"), F.col("node"))).alias("pivot")).filter("lo <> hi and left > 1").select("region", "pivot")
-            open_ = settle(own.join(split, "region"))
-            if open_.isEmpty():
-                break
-            rest = open_.filter("not done")
-            if k < self.rounds:
-                lead = rest.filter("node = pivot").selectExpr("region", "node as a", "d as da", "root as ra")
-                met = rest.join(lead, "region").filter(F.col("node") != F.col("a"))
-            else:
-                lead = rest.selectExpr("region", "node as a", "d as da", "root as ra")
-                met = rest.join(lead, "region").filter(F.col("node") > F.col("a"))
-            met = met.filter((F.col("root") != F.col("ra")) & (F.abs(F.col("d") - F.col("da")) <= reach))
-            new = settle(met.selectExpr("least(a, node) as a", "greatest(a, node) as b").distinct().join(done, ["a", "b"], "left_anti"))
-            near = self.measured(new, sets)
-            links = settle(links.unionByName(near.filter(linked).select("a", "b")))
-            done = settle(done.unionByName(new))
-            open_ = open_.select("region", "node", "d", (F.col("done") | (F.col("node") == F.col("pivot"))).alias("done"))
-        return links
+        cell = members.select("pivot", "node").distinct().join(distance, ["pivot", "node"], "left").join(roots, "node", "left")
+        cell = settle(cell.select("pivot", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), F.coalesce("root", "node").alias("root")))
+        split = cell.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("pivot", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+        # Of larger cells every two blocks meet in a group of their own.
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        block = cell.filter("node <> pivot").join(split, "pivot").join(self.nodes.select("node", "n"), "node").join(self.counts(), "node")
+        met = block.select("pivot", "node", "n", "root", "d", "counts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        pairs = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
+        more = self.measured(pairs, near.select("a", "b"))
+        return settle(links.unionByName(more.filter(linked).select("a", "b")))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
@@ -287,4 +354,5 @@ def link_documents(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFra
 def keep_one(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFrame:
     """docs with one document of each component: its smallest doc_id, of equal rows the first by text. Documents without words stay."""
     found = link_documents(docs, n, link).filter("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(settle(found).withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"))
+    return named.join(settle(found), F.col("own").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
