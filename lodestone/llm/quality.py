@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import only
 
-SAMPLE, SAMPLE_BYTES = 3000, 200_000
+SAMPLE, SAMPLE_BYTES = 3000, 50_000
 EMBEDDING, FILTERS, HIDDEN, WIDTH = 6, 24, 16, 6
 HALF = 256  # bytes; a chunk is two halves, and neighbouring chunks share one
 EPOCHS, BATCH, RATE = 14, 64, 4e-3
@@ -159,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2; None if there is none."""
     known = only(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & (remainder(4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = only(docs, "doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
-    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Only about twice the sample goes on to be ordered, so no task sends much to the driver.
+    most = int(min(1.0, 2 * sample / max(1, known.count())) * (1 << 30))
+    first = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < most).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = texts.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     if not rows:
         return None
