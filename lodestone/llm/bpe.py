@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from lodestone.llm import memo
+
 #: Distinct pieces that a worker remembers (about 250 bytes each) before it starts anew.
 MEMORY = 1_300_000
 PER_CALL = 100
@@ -162,10 +164,12 @@ def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 _encoders: dict[str, Encoder] = {}
+memo.register("bpe", lambda: [e.clear() for e in _encoders.values()])
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker process."""
+    memo.use("bpe")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 
 DISTANCE, RECALL, STRIDE, SHORTEST = 0.2, 0.99, 6, 8
@@ -48,6 +49,7 @@ PART = 9
 AGREE = 0.78
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[str, int] = {}
+memo.register("decontaminate", _words.clear)
 
 
 def tables_for(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> int:
@@ -58,7 +60,8 @@ def tables_for(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMP
 
 def codes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each folded word."""
-    if len(_words) > 500_000:
+    memo.use("decontaminate")
+    if len(_words) > 400_000:
         _words.clear()
     words = (text or "").lower().split()
     out = []

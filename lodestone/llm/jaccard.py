@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 from lodestone.llm.graph import components
 
@@ -50,6 +51,7 @@ BUCKETS = 256
 FILTER_BITS, BITS_A_WORD = 1 << 24, 63
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
+memo.register("jaccard", _words.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,7 +62,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; fewer words are one shingle."""
-    if len(_words) > 500_000:
+    memo.use("jaccard")
+    if len(_words) > 400_000:
         _words.clear()
     words = (text or "").encode().lower().split()
     if not words:
