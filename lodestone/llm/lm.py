@@ -116,8 +116,16 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """word, n of all training words as a settled table, and the vocabulary."""
     counts = settle(only(train, "text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     ends = train.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(HELD).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    # The least count of the held words, from a histogram with a bounded number of steps: no task sends more than the held words.
+    step = F.floor(F.log2("n") * 64).alias("step")
+    least, room = None, HELD
+    for r in sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["least"]
+    top = sorted(((-r["n"], bytes(r["word"])) for r in counts.filter(F.col("n") >= least).collect()) if least else [])
+    words, n = [w for _, w in top], np.array([-c for c, _ in top], np.int64)
     own = {w: True for w in words[:SHORT]}
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
