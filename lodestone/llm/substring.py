@@ -1,11 +1,14 @@
 """Substring deduplication by sliding sentence spans (operator 3).
 
-A text is cut after sentence ends and newlines; sentences of more than ``LONG`` words,
-where punctuation is missing, are also cut after commas and after words that end in d
-or r, so cuts depend on the words alone. From every sentence a run extends over at
-least three sentences and at least ``LEAST_WORDS`` words. Runs are hashed to 128 bits
+A text is cut after sentence ends and newlines, and in every ``WINDOW`` words without
+such a cut before the word of the least hash (winnowing), so no part is longer and
+whether there is a cut depends on the words nearby alone. From every part a run extends
+over at least three parts and at least ``LEAST_WORDS`` words. Whatever surrounds a
+passage of over 50 words, its cuts are the same from its eighth word to its eighth last
+but for the first word's, and hold a whole run: of 50 words at least 21, in three parts
+or more. Runs are hashed to 128 bits
 after folding case and white space, a partial aggregation finds in how many documents
-each run is and in which first, and a sentence goes if some run over it is not that
+each run is and in which first, and a part goes if some run over it is not that
 run's first. Which run of a document repeats within it needs no shuffle.
 
 Defined results: a null text stays null and an empty one empty, with no sentences; the
@@ -16,33 +19,56 @@ others; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import only
 
-SENTENCES, LEAST_WORDS, LONG = 3, 20, 40
-_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)(?=[^\n])")
-_INNER = re.compile(r"(?<=[,;:drDR])(?=\s)")
+SENTENCES, LEAST_WORDS, WINDOW = 3, 20, 8
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NULL_ID = (1 << 63) - 1
 
 
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters, which are white space, and where words begin."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    return codes, space, np.flatnonzero(np.append(True, space[:-1]) & ~space)
+
+
+def _keys(text: str) -> np.ndarray:
+    """A hash of each word, of its characters times a power by their place in it."""
+    codes, space, start = _characters(text)
+    place = np.arange(start[0], len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes))))
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(np.where(space, np.uint64(0), codes)[start[0] :] * _PLACES[place & 63], start - start[0])
+        return ((h ^ (h >> np.uint64(32))) * _B2 >> np.uint64(1)) + np.uint64(1)
+
+
 def sentences(text: str) -> list[str]:
-    """Parts of the text; put together they are the text."""
-    parts = []
-    for s in _END.split(text):
-        if len(s) > 2 * LONG and len(s.split()) > LONG:
-            parts += _INNER.split(s)
-        elif s:
-            parts.append(s)
-    return parts
+    """Parts of the text, sentences or less; put together they are the text."""
+    if not text:
+        return []
+    codes, space, start = _characters(text)
+    before, after = codes[:-1], codes[1:]
+    cut = np.flatnonzero(((before == 46) | (before == 33) | (before == 63)) & space[1:] | (before == 10) & (after != 10)) + 1
+    if len(start) >= WINDOW:
+        key = _keys(text.lower())
+        opens = np.searchsorted(start, np.append(0, cut))
+        key[opens[opens < len(key)]] = 0
+        least = np.zeros(len(key), bool)
+        least[sliding_window_view(key, WINDOW).argmin(axis=1) + np.arange(len(key) - WINDOW + 1)] = True
+        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        cut = np.sort(np.append(cut, ends[np.flatnonzero(least & (key > 0)) - 1]))
+    edges = [0, *cut.tolist(), len(text)]
+    return [text[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -51,6 +77,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_PLACES = _powers(_B1, 64)
+
+
 def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """start, end, and two 64-bit hashes of every run; sentences without a word lengthen no run."""
     folded = [" ".join(p.lower().split()) for p in parts]
@@ -116,7 +145,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, n_sentences, n_removed."""
     docs = only(docs, "doc_id", "text")
-    found = docs.mapInArrow(_digests, "doc long, h1 long, h2 long")
+    # Dealt out once for both uses. The filter, which drops nothing, keeps Spark from adding one to a single use.
+    found = docs.mapInArrow(_digests, "doc long, h1 long, h2 long").filter("doc is not null and h1 is not null and h2 is not null").repartition("h1", "h2")
     shared = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1").drop("n")
     later = found.join(shared, ["h1", "h2"]).filter("doc > first").groupBy("doc").agg(F.collect_list("h1").alias("later"))
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))

@@ -132,6 +132,29 @@ def test_substring(spark):
     assert substring.remove_repeated(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("place", ["aligned", "unaligned", "bare"])
+def test_substring_meets_every_passage(spark, place):
+    """Two texts that share 51 words share a run, in each language and wherever the passage begins."""
+    r = np.random.default_rng(5)
+    of = {}
+    for x in table(spark, "/root/testdata/sf0.01", "documents").collect():
+        w = (x["text"] or "").split()
+        if len(w) > 200:
+            of.setdefault(x["lang"], []).append(w)
+    assert len(of) == 4
+    for texts in of.values():
+        for _ in range(60):
+            a, b, c = (texts[int(i)] for i in r.integers(len(texts), size=3))
+            at, i, j = (int(r.integers(len(x) - 110)) for x in (a, b, c))
+            if place == "aligned":
+                at = next((k for k in range(at, len(a) - 51) if a[k - 1][-1] in ".!?"), at)
+            own = [b[i : i + 50] + a[at : at + 51] + b[i + 50 : i + 100], c[j : j + 50] + a[at : at + 51] + c[j + 50 : j + 100]]
+            if place == "bare":
+                own = [["".join(filter(str.isalnum, w)) or "x" for w in x] for x in own]
+            one, two = (set(substring.runs(substring.sentences(" ".join(x)))[2].tolist()) for x in own)
+            assert one & two
+
+
 # Language model
 
 
