@@ -10,15 +10,21 @@ allowed distance is expected to be found with the target recall.
 Windows begin at every ``STRIDE``-th word of a document; instead of a window at every
 word, each item enters the tables once for each of its first ``STRIDE`` words, so some
 window meets an item wherever it lies. A window's walk is only followed while the places
-sampled so far agree with some item, which changes no key and no result. Each window
-found is verified by the exact word edit distance of the item to the best-matching part
+sampled so far agree with some item, which changes no key and no result.
+
+Items of fewer than ``WALKED`` words have too few alignments and walks too short for that
+recall. They are cut into one piece more than the edits they may have, so one piece is
+unedited in every match, and each piece is looked up at every word: none is missed.
+Items with fewer than ``SHORTEST`` words are looked up whole and match unedited only.
+
+Each window or piece found is verified by the exact word edit distance of the item to the best-matching part
 of the document around the window, at most ``DISTANCE`` times the item's words.
 
 Items are broadcast in blocks of at most ``ITEMS_A_BLOCK`` items and ``WORDS_A_BLOCK``
 words; more items are more passes over the documents.
 
-Defined results: null and empty texts have no match; items with fewer than ``SHORTEST``
-words or null text match nothing; equal rows are matched each; null ids stay; extra
+Defined results: null and empty texts have no match; items without words or with null
+text match nothing; equal rows are matched each; null ids stay; extra
 columns stay in ``decontaminate``.
 """
 
@@ -37,6 +43,8 @@ from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 
 DISTANCE, RECALL, STRIDE, SHORTEST = 0.2, 0.99, 6, 8
+#: From so many words on an item is met by walks with the target recall at any distance allowed (see the tests).
+WALKED = 30
 #: Places of a walk in a key, and how many keys share a walk.
 SAMPLED, KEYS_A_WALK = 4, 4
 ITEMS_A_BLOCK, WORDS_A_BLOCK = 20_000, 2_000_000
@@ -92,9 +100,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], distance: float = DISTANCE, tables: int | None = None):
         self.distance = distance
         self.walks = (tables or tables_for()) // KEYS_A_WALK
-        self.items = [(i, c) for i, t in items for c in [codes(t)] if len(c) >= SHORTEST]
+        self.items = [(i, c) for i, t in items for c in [codes(t)] if len(c)]
         # An item is read from each of the first STRIDE words of each of its parts on; what is left must be worth a key.
-        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) for s in range(len(c) - REACHES[0] + 1) if s < STRIDE or s % PART < STRIDE and s <= len(c) - SHORTEST]
+        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) if len(c) >= WALKED for s in range(len(c) - REACHES[0] + 1) if s < STRIDE or s % PART < STRIDE and s <= len(c) - SHORTEST]
         width = REACH + 1
         sheet = np.zeros((len(self.variants), width), np.uint64)
         for row, (k, s) in enumerate(self.variants):
@@ -119,6 +127,19 @@ class Index:
                     for c, row in zip(chain.tolist(), rows.tolist()):
                         full[c].append(row)
                     self.by_walk[walk].append((sampled, filters, dict(full)))
+        # Length of the pieces -> filter, key -> variants; a piece is a variant that begins where the piece does.
+        pieces: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, c) in enumerate(self.items):
+            if len(c) < WALKED:
+                edges = np.linspace(0, len(c), self.most(c) + 2).astype(np.int64).tolist()
+                for a, b in zip(edges, edges[1:]):
+                    pieces[b - a][int(_chained(c[a:b], b - a)[0])].append(len(self.variants))
+                    self.variants.append((k, a))
+        self.pieces = {n: (_Filter(np.array(sorted(full), np.uint64)), dict(full)) for n, full in pieces.items()}
+
+    def most(self, item: np.ndarray) -> int:
+        """The edits an item may have."""
+        return int(self.distance * len(item)) if len(item) >= SHORTEST else 0
 
     @staticmethod
     def _written(flat, start, walk):
@@ -170,6 +191,15 @@ class Index:
                 at = np.minimum(at, len(words) - 1)
         return sorted(found)
 
+    def unedited(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, variant) of every piece in words, which are followed by REACH + 1 zeros."""
+        found = []
+        for n, (kept, full) in self.pieces.items():
+            keys = _chained(words, n)
+            at = np.flatnonzero(kept.has(keys))
+            found += [(i, v) for i, c in zip(at.tolist(), keys[at].tolist()) for v in full[c]]
+        return sorted(found)
+
     def matches(self, words: np.ndarray, found: list[tuple[int, int]]) -> dict[int, tuple[int, int, int]]:
         """Verified items: item id -> (distance, first word, end) of the best part of the document."""
         best: dict[int, tuple[int, int, int]] = {}
@@ -177,7 +207,9 @@ class Index:
         for at, variant in found:
             k, shift = self.variants[variant]
             name, item = self.items[k]
-            most = int(self.distance * len(item))
+            most = self.most(item)
+            if name in best and best[name][0] == 0 and best[name][1] <= at - shift - 2 * most - 1:
+                continue  # no later place is better
             around = (at - shift) // max(1, most)
             if (k, around) in tried:
                 continue
@@ -191,6 +223,16 @@ class Index:
         return best
 
 
+def _chained(words: np.ndarray, n: int) -> np.ndarray:
+    """A key of every n words in a row."""
+    last = len(words) - n + 1
+    chain = np.zeros(max(0, last), np.uint64)
+    for j in range(n if last > 0 else 0):
+        chain = (chain ^ words[j : j + last]) * _MIX
+        chain ^= chain >> np.uint64(32)
+    return chain
+
+
 class _Filter:
     """Membership in a sorted array of 64-bit values, by a bitmap first."""
 
@@ -254,7 +296,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE
                 words = np.concatenate([x for c in own for x in (c, gap)] or [gap])
                 begins = np.cumsum([0] + [len(c) + len(gap) for c in own])
                 starts = [b + np.arange(0, len(c), STRIDE) for b, c in zip(begins, own) if len(c)]
-                found = index.candidates(words, np.concatenate(starts)) if starts and index.items else []
+                found = index.candidates(words, np.concatenate(starts)) if starts and index.by_walk else []
+                found = sorted(found + index.unedited(words))
                 rows = []
                 by_doc: dict[int, list] = defaultdict(list)
                 for at, variant in found:

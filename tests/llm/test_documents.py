@@ -281,6 +281,28 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 7, 8, 9, 10, 12, 15, 17, 20, 25, 29, 30, 40])
+def test_decontaminate_by_length(spark, n):
+    """Items of each length, as they are and at the largest distance allowed, at any alignment."""
+    r = np.random.default_rng(n)
+    items = [(i, " ".join(f"a{x}" for x in r.integers(0, 10**9, n))) for i in range(100)]
+    most = int(0.2 * n) if n >= 8 else 0
+    fill = lambda: [f"q{x}" for x in r.integers(0, 1000, int(r.integers(0, 40)))]
+    rows = []
+    for i, t in items:
+        for edits in (0, most):
+            w = t.split()
+            for p in r.choice(n, edits, replace=False) if edits else []:
+                w[int(p)] = "edit"
+            rows.append((len(rows), " ".join(fill() + w + fill())))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.find_items(frame(spark, rows), bench).collect()}
+    assert all(found.get((2 * i, i)) == 0 for i in range(100))
+    hits = [found.get((2 * i + 1, i), 99) <= most for i in range(100)]
+    assert np.mean(hits) >= 0.97 and (n >= 30 or all(hits))
+    assert all(i == d // 2 for d, i in found)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
