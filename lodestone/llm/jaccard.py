@@ -355,7 +355,12 @@ def link_documents(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFrame:
-    """docs with one document of each component: its smallest doc_id, of equal rows the first by text. Documents without words stay."""
-    found = link_documents(docs, n, link).filter("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)").select("doc_id").distinct()
-    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"))
-    return named.join(settle(found), F.col("own").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    """docs with one document of each component: the row that is first by doc_id (null last) and text, and rows of the
+    component with its doc_id, which are the same document. Documents without words stay."""
+    named = settle(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("key")))
+    classes = settle(link_documents(named.select(F.col("key").alias("doc_id"), "text"), n, link).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")))
+    many = classes.groupBy("of").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("of")
+    members = named.select("key", "doc_id", "text").join(classes.join(many, "of"), "key")
+    first = members.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text", "key")).alias("first")).select("of", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    gone = members.select("key", "doc_id", "of").join(first, "of").filter("key <> first_key and not coalesce(doc_id = first_id, false)").select("key")
+    return named.select("row", "key").join(settle(gone), "key", "left_anti").select("row.*")

@@ -395,3 +395,11 @@ def test_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "_gone", "n"]
     want = Counter(d for d, n, c in brute_components(rows) if n == 0 or d == c or d is None and c is None)
     assert Counter(x["doc_id"] for x in kept.collect()) == want
+
+
+def test_keep_one_decides_by_row(spark):
+    """Rows are lost for their own text, never for sharing a doc_id, null or not, with a copy."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, ""), (7, a), (7, c), (None, d), (None, d), (None, d)]
+    kept = [(x["doc_id"], x["text"]) for x in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert Counter(kept) == Counter([(1, a), (None, b), (None, ""), (7, c), (None, d)])
