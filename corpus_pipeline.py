@@ -19,13 +19,16 @@ from lodestone.llm.pii import pseudonymise
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.rules import keep_good
 
+#: Near duplicates share 80 of 100 shingles of five words.
+NEAR_WORDS, NEAR_LINK = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, n=NEAR_WORDS, link=NEAR_LINK)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,36 @@ def test_keep_one_decides_by_row(spark):
     rows = [(1, a), (None, a), (None, b), (None, ""), (7, a), (7, c), (None, d), (None, d), (None, d)]
     kept = [(x["doc_id"], x["text"]) for x in jaccard.keep_one(frame(spark, rows)).collect()]
     assert Counter(kept) == Counter([(1, a), (None, b), (None, ""), (7, c), (None, d)])
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    """The stage against five words and 0.8, with pairs between that and the query's four words and 0.85."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    rows = [(9000 + i, t) for i, (_, t) in enumerate(near_copies()) if t]
+    for _ in range(20):
+        base = [f"b{x}" for x in r.integers(0, 10**6, 1000)]
+        edited = list(base)
+        for p in r.choice(1000, 22, replace=False):
+            edited[int(p)] = f"e{r.integers(10**6)}"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    want = sorted(d for d, n, c in brute_components(rows, 5, 80) if n == 0 or d == c)
+    assert want != sorted(d for d, n, c in brute_components(rows) if n == 0 or d == c)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()) == want
+
+
+def test_regions_share_at_80():
+    r = np.random.default_rng(12)
+    met = 0
+    for _ in range(600):
+        n = int(r.integers(1, 1200))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        gone = int(r.integers(0, len(a) // 5 + 1))
+        b = np.unique(np.concatenate([a[gone:], r.integers(0, 1 << 62, int(r.integers(0, gone // 2 + 1))).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            met += 1
+            (ra, oa), (rb, ob) = jaccard.regions(a, 80), jaccard.regions(b, 80)
+            assert oa or ob or len(np.intersect1d(ra, rb))
+    assert met > 100
