@@ -8,8 +8,8 @@ of one walk as its key. ``tables_for`` repeats tables until an item at the large
 allowed distance is expected to be found with the target recall.
 
 Windows begin at every ``STRIDE``-th word of a document; instead of a window at every
-word, each item enters the tables once for each of its first ``STRIDE`` words, so some
-window meets an item wherever it lies. A window's walk is only followed while the places
+word, each item enters the tables from each of its words on, so some window meets an
+item wherever it lies. A window's walk is only followed while the places
 sampled so far agree with some item, which changes no key and no result.
 
 Items of fewer than ``WALKED`` words have too few alignments and walks too short for that
@@ -17,32 +17,37 @@ recall. They are cut into one piece more than the edits they may have, so one pi
 unedited in every match, and each piece is looked up at every word: none is missed.
 Items with fewer than ``SHORTEST`` words are looked up whole and match unedited only.
 
-Each window or piece found is verified by the exact word edit distance of the item to the best-matching part
-of the document around the window, at most ``DISTANCE`` times the item's words.
+Each window or piece found is verified by the exact word edit distance of the item to
+the best-matching part of the document around it, at most ``DISTANCE`` times the item's
+words.
 
 Items are broadcast in blocks of at most ``ITEMS_A_BLOCK`` items and ``WORDS_A_BLOCK``
 words; more items are more passes over the documents.
 
 Defined results: null and empty texts have no match; items without words or with null
-text match nothing; equal rows are matched each; null ids stay; extra
-columns stay in ``decontaminate``.
+text match nothing; very long texts are read whole; of parts at one distance the first
+counts; equal rows are matched each, and rows with one doc_id are one row of
+``contaminated``, null ids included; ``decontaminate`` decides by the row's own text, and
+extra columns stay there; an empty table, of documents or of items, gives no match.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import memo
-from lodestone.llm.common import only, settle
+from lodestone.llm.common import only
+from lodestone.llm.wordhash import hashed
+from lodestone.session import ready
 
-DISTANCE, RECALL, STRIDE, SHORTEST = 0.2, 0.99, 6, 8
+DISTANCE, RECALL, STRIDE, SHORTEST = 0.2, 0.99, 9, 8
 #: From so many words on an item is met by walks with the target recall at any distance allowed (see the tests).
 WALKED = 30
 #: Places of a walk in a key, and how many keys share a walk.
@@ -51,13 +56,9 @@ ITEMS_A_BLOCK, WORDS_A_BLOCK = 20_000, 2_000_000
 #: How many words of an item a walk may read, for items of at least so many: steps are twice as many.
 REACHES = (5, 12, 18)
 REACH = REACHES[-1]
-#: A walk also begins at every so many words of an item, so edits at its front don't hide it.
-PART = 9
 #: Chance that a sampled place agrees at the largest allowed distance (measured on random edits; see the tests).
 AGREE = 0.78
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
-memo.register("decontaminate", _words.clear)
 
 
 def tables_for(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> int:
@@ -68,17 +69,7 @@ def tables_for(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMP
 
 def codes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each folded word."""
-    memo.use("decontaminate")
-    if len(_words) > 400_000:
-        _words.clear()
-    words = (text or "").lower().split()
-    out = []
-    for w in words:
-        c = _words.get(w)
-        if c is None:
-            c = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(c)
-    return np.array(out, np.uint64)
+    return hashed([text])[0]
 
 
 def places(walk: int, reach: int) -> np.ndarray:
@@ -101,8 +92,9 @@ class Index:
         self.distance = distance
         self.walks = (tables or tables_for()) // KEYS_A_WALK
         self.items = [(i, c) for i, t in items for c in [codes(t)] if len(c)]
-        # An item is read from each of the first STRIDE words of each of its parts on; what is left must be worth a key.
-        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) if len(c) >= WALKED for s in range(len(c) - REACHES[0] + 1) if s < STRIDE or s % PART < STRIDE and s <= len(c) - SHORTEST]
+        self.sorted = [np.unique(c) for _, c in self.items]
+        # An item is read from each word on; what is left must be worth a key.
+        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) if len(c) >= WALKED for s in range(len(c) - SHORTEST + 1)]
         width = REACH + 1
         sheet = np.zeros((len(self.variants), width), np.uint64)
         for row, (k, s) in enumerate(self.variants):
@@ -214,9 +206,16 @@ class Index:
             if (k, around) in tried:
                 continue
             tried.add((k, around))
+            here = at - shift
+            if here >= 0 and np.array_equal(words[here : here + len(item)], item):
+                if name not in best or (0, here) < best[name][:2]:
+                    best[name] = (0, here, here + len(item))
+                continue
             lo, hi = max(0, at - shift - 2 * most - 1), min(len(words), at - shift + len(item) + 2 * most + 1)
-            if np.isin(item, words[lo:hi]).sum() < len(item) - most:
-                continue  # each edit takes at most one of the item's words
+            part, own = words[lo:hi], self.sorted[k]
+            # Each edit takes at most one of the item's words, so this many places of the part hold one of them.
+            if (own[np.searchsorted(own[:-1], part)] == part).sum() < len(item) - most or np.isin(item, part).sum() < len(item) - most:
+                continue
             d, a, b = within(item, words[lo:hi], most)
             if d <= most and (name not in best or (d, lo + a) < best[name][:2]):
                 best[name] = (d, lo + a, lo + b)
@@ -270,60 +269,95 @@ def within(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int
     return int(row[end]), int(came[end]), end
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL, uid: str = "doc_id") -> DataFrame:
-    """One row a document and item found in it: uid, item_id, distance, first_word, end_word."""
-    spark = docs.sparkSession
-    given = only(benchmark, "item_id", "text").filter("text is not null and item_id is not null")
-    blocks: list[list[tuple[int, str]]] = [[]]
+_indexes: dict[str, Index] = {}
+memo.register("decontaminate", _indexes.clear)
+
+
+def _index(given: tuple) -> Index:
+    """The index of a block, made once a worker process."""
+    memo.use("decontaminate")
+    if given[0] not in _indexes:
+        _indexes.clear()
+        _indexes[given[0]] = Index(*given[1:])
+    return _indexes[given[0]]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of bounded size."""
+    block: list[tuple[int, str]] = []
     words = 0
-    for r in given.orderBy("item_id", "text").toLocalIterator():
+    for r in only(benchmark, "item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
         size = len(r["text"].split())
-        if blocks[-1] and (len(blocks[-1]) >= ITEMS_A_BLOCK or words + size > WORDS_A_BLOCK):
-            blocks.append([])
-            words = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+        if block and (len(block) >= ITEMS_A_BLOCK or words + size > WORDS_A_BLOCK):
+            yield block
+            block, words = [], 0
+        block.append((r["item_id"], r["text"]))
         words += size
-    schema = f"{uid} long, item_id long, distance int, first_word int, end_word int"
+    if block:
+        yield block
+
+
+def _matched(index: Index, texts: list[str | None]) -> dict[int, dict[int, tuple[int, int, int]]]:
+    """Place of a text among the texts -> the items found in it."""
+    flat, at = hashed(texts)
+    sizes, gap = np.diff(at), REACH + 1
+    begins = at + gap * np.arange(len(at))
+    words = np.zeros(len(flat) + gap * max(1, len(sizes)), np.uint64)
+    words[np.arange(len(flat)) + gap * np.repeat(np.arange(len(sizes)), sizes)] = flat
+    windows = -(-sizes // STRIDE)
+    starts = np.repeat(begins[:-1], windows) + STRIDE * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
+    found = index.candidates(words, starts) if len(starts) and index.by_walk else []
+    by_doc: dict[int, list] = defaultdict(list)
+    for place, variant in sorted(found + index.unedited(words)):
+        d = int(np.searchsorted(begins, place, side="right")) - 1
+        by_doc[d].append((place - int(begins[d]), variant))
+    every = {d: index.matches(flat[at[d] : at[d + 1]], hits) for d, hits in by_doc.items()}
+    return {d: m for d, m in every.items() if m}
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:
+    """One row a document and item found in it: doc_id, item_id, distance, first_word, end_word."""
+    spark = docs.sparkSession
+    schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
     out = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast((block, distance, tables_for(recall)))
+    for block in _blocks(benchmark):
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block, distance, tables_for(recall)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value[0], held.value[1], held.value[2])
+            index = _index(held.value)
             for batch in batches:
-                own = [codes(t) for t in batch.column(1).to_pylist()]
-                gap = np.zeros(REACH + 1, np.uint64)
-                words = np.concatenate([x for c in own for x in (c, gap)] or [gap])
-                begins = np.cumsum([0] + [len(c) + len(gap) for c in own])
-                starts = [b + np.arange(0, len(c), STRIDE) for b, c in zip(begins, own) if len(c)]
-                found = index.candidates(words, np.concatenate(starts)) if starts and index.by_walk else []
-                found = sorted(found + index.unedited(words))
-                rows = []
-                by_doc: dict[int, list] = defaultdict(list)
-                for at, variant in found:
-                    d = int(np.searchsorted(begins, at, side="right")) - 1
-                    by_doc[d].append((at - int(begins[d]), variant))
                 ids = batch.column(0).to_pylist()
-                for d, hits in by_doc.items():
-                    rows += [(ids[d], name, *best) for name, best in sorted(index.matches(own[d], hits).items())]
+                rows = [(ids[d], name, *best) for d, own in _matched(index, batch.column(1).to_pylist()).items() for name, best in sorted(own.items())]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [uid, "item_id", "distance", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "first_word", "end_word"])
 
-        found = only(docs, uid, "text").mapInArrow(run, schema)
+        found = only(docs, "doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row a document with a match: doc_id, n_items, item_ids (ascending), distances and word spans in that order.
+    """One row a doc_id with a match: doc_id, n_items, item_ids (ascending), distances and word spans in that order.
     A document's items are found in one task, but blocks of items in several, so its rows are gathered."""
     hit = find_items(docs, benchmark, **options)
     one = F.sort_array(F.collect_set(F.struct("item_id", "distance", "first_word", "end_word")))
     return hit.groupBy("doc_id").agg(one.alias("m")).select("doc_id", F.size("m").cast("long").alias("n_items"), F.col("m.item_id").alias("item_ids"), F.col("m.distance").alias("distances"), F.col("m.first_word").alias("first_words"), F.col("m.end_word").alias("end_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents in which an item was found; their columns as they are. Rows with a null doc_id are matched by their text."""
-    named = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("uid"), "text")
-    hit = settle(find_items(named.select("uid", "text"), benchmark, uid="uid", **options).select("uid").distinct())
-    return named.drop("text").join(hit, "uid", "left_anti").select("row.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:
+    """docs without the rows in whose text an item was found; their columns as they are. A row goes for its own text
+    alone: the pass that finds the items drops the row, so no key is needed."""
+    ready(docs.sparkSession)
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, distance, tables_for(recall)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = _index(held.value)
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                stay[list(_matched(index, batch.column(at).to_pylist()))] = False
+                yield batch.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
