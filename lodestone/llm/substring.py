@@ -1,145 +1,150 @@
 """Substring deduplication by sliding sentence spans (operator 3).
 
-A text is cut after sentence ends and newlines, and in every ``WINDOW`` words without
-such a cut before the word of the least hash (winnowing), so no part is longer and
-whether there is a cut depends on the words nearby alone. From every part a run extends
-over at least three parts and at least ``LEAST_WORDS`` words. Whatever surrounds a
-passage of over 50 words, its cuts are the same from its eighth word to its eighth last
-but for the first word's, and hold a whole run: of 50 words at least 21, in three parts
-or more. Runs are hashed to 128 bits
-after folding case and white space, a partial aggregation finds in how many documents
-each run is and in which first, and a part goes if some run over it is not that
-run's first. Which run of a document repeats within it needs no shuffle.
-
-Defined results: a null text stays null and an empty one empty, with no sentences; the
-first occurrence is the one in the smallest doc_id, then the earliest in the text; rows
-with the same doc_id count as one document and rows with a null doc_id as one after all
-others; extra columns are ignored; an empty table gives no rows.
+A text is cut before words that follow a sentence end or a newline, and in every
+``WINDOW`` words without such a cut before the word of the least hash (winnowing), so no
+part is longer and whether there is a cut depends on the words nearby alone. From every
+part a run extends over at least ``SENTENCES`` parts and at least ``LEAST_WORDS`` words.
+Whatever surrounds a passage of over 50 words, its cuts from its second word on are the
+same, and the first of them is before its tenth word. A run from there has its words by
+the passage's 44th and ends at a cut that the passage itself makes, so two texts with the
+passage share a run. Runs are hashed to 128 bits from their words, with case folded and
+whatever white space between; a partial aggregation finds in how many documents each run
+is and in which first, and a part goes if some run over it is not that run's first. Which
+run of a document repeats within it needs no shuffle. Cuts, hashes and sums are array
+operations over a batch of texts.
+
+Defined results: a null text stays null and an empty one empty, with no sentences, as has
+a text without words; very long texts are cut whole; the first occurrence is the one in
+the smallest doc_id, then the earliest in the text; rows with the same doc_id count as
+one document and rows with a null doc_id as one after all others; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import only
+from lodestone.llm.wordhash import characters, mix, powers, slices, word_hashes
 
-SENTENCES, LEAST_WORDS, WINDOW = 3, 20, 8
-_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
-_B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+SENTENCES, LEAST_WORDS, WINDOW = 3, 28, 8
 NULL_ID = (1 << 63) - 1
-
-
-def _characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The characters, which are white space, and where words begin."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
-    return codes, space, np.flatnonzero(np.append(True, space[:-1]) & ~space)
-
-
-def _keys(text: str) -> np.ndarray:
-    """A hash of each word, of its characters times a power by their place in it."""
-    codes, space, start = _characters(text)
-    place = np.arange(start[0], len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes))))
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat(np.where(space, np.uint64(0), codes)[start[0] :] * _PLACES[place & 63], start - start[0])
-        return ((h ^ (h >> np.uint64(32))) * _B2 >> np.uint64(1)) + np.uint64(1)
-
-
-def sentences(text: str) -> list[str]:
-    """Parts of the text, sentences or less; put together they are the text."""
-    if not text:
-        return []
-    codes, space, start = _characters(text)
-    before, after = codes[:-1], codes[1:]
-    cut = np.flatnonzero(((before == 46) | (before == 33) | (before == 63)) & space[1:] | (before == 10) & (after != 10)) + 1
-    if len(start) >= WINDOW:
-        key = _keys(text.lower())
-        opens = np.searchsorted(start, np.append(0, cut))
-        key[opens[opens < len(key)]] = 0
-        least = np.zeros(len(key), bool)
-        least[sliding_window_view(key, WINDOW).argmin(axis=1) + np.arange(len(key) - WINDOW + 1)] = True
-        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        cut = np.sort(np.append(cut, ends[np.flatnonzero(least & (key > 0)) - 1]))
-    edges = [0, *cut.tolist(), len(text)]
-    return [text[a:b] for a, b in zip(edges, edges[1:])]
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_PLACES = _powers(_B1, 64)
-
-
-def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, end, and two 64-bit hashes of every run; sentences without a word lengthen no run."""
-    folded = [" ".join(p.lower().split()) for p in parts]
-    words = np.array([f.count(" ") + 1 if f else 0 for f in folded], np.int64)
-    real = np.flatnonzero(words)
-    n = len(real)
-    if n < least_sentences:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    total = np.append(0, np.cumsum(words[real]))
-    first = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + least_words), first + least_sentences)
-    ok = end <= n
-    first, end = first[ok], end[ok]
-    out = []
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(folded[i]) for i in real), "<u8").reshape(-1, 2)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+@dataclass
+class Cut:
+    """Texts in parts and runs. Parts and runs of all texts are numbered on; *_at are each text's first (one entry more)."""
+
+    part_at: np.ndarray
+    begin: np.ndarray  # of each part: its first character in its text
+    run_at: np.ndarray
+    first: np.ndarray  # of each run: its first part, the part after its last, and its hashes
+    end: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+    def repeated(self) -> np.ndarray:
+        """Which runs are not their text's first of that hash."""
+        own = np.repeat(np.arange(len(self.run_at) - 1), np.diff(self.run_at))
+        order = np.lexsort((self.h1, own))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (self.h1[order][1:] == self.h1[order][:-1]) & (own[order][1:] == own[order][:-1])
+        return again
+
+
+def _least(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which words are the least (the first of the least) of some WINDOW words of one text."""
+    out = np.zeros(len(key), bool)
+    n = len(key) - WINDOW + 1
+    if n > 0:
+        low = key[:n]
+        for k in range(1, WINDOW):
+            low = np.minimum(low, key[k : k + n])
+        at = np.zeros(n, np.int64)
+        for k in range(WINDOW - 1, -1, -1):
+            at[key[k : k + n] == low] = k
+        at += np.arange(n)
+        out[at[text[:n] == text[WINDOW - 1 :]]] = True
+    return out
+
+
+def cut(texts: list[str | None], least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> Cut:
+    given = [t or "" for t in texts]
+    joined = "\n".join(given)
+    codes, space, start = characters(joined)
+    low = joined.lower()
+    one, two = word_hashes(*((codes, space, start) if low == joined else characters(low)), kinds=2)
+    begins = np.cumsum([0] + [len(t) + 1 for t in given])
+    word_at = np.searchsorted(start, begins)
+    text = np.repeat(np.arange(len(given)), np.diff(word_at))
+    # A word opens a part after a newline, after a word that ends a sentence, or as a window's least.
+    lines = np.cumsum(codes == 10)[start] if len(start) else start
+    stops = np.flatnonzero(~space & np.append(space[1:], True)) if len(start) else start
+    ends = np.isin(codes[stops], (33, 46, 63))
+    opens = np.append(True, (lines[1:] > lines[:-1]) | ends[:-1])[: len(start)]
+    key = (one >> np.uint64(1)) + np.uint64(1)
+    key[opens] = 0
+    opens |= _least(key, text)
+    part = np.flatnonzero(opens)
+    part_at = np.searchsorted(part, word_at)
+    begin = np.append(0, stops[:-1] + 1)[: len(start)][part] - begins[text[part]]
+    begin[part_at[:-1][np.diff(part_at) > 0]] = 0
+    # Runs: each from a part on, up to the first part that has enough before it, within its text.
+    edge = np.append(part, len(start))
+    last = part_at[1:][text[part]]
+    end = np.maximum(np.searchsorted(edge, part + least_words), np.arange(len(part)) + least_sentences)
+    ok = end <= last
+    first, end = np.flatnonzero(ok), end[ok]
+    a, b = edge[first], edge[end]
+    hashes = []
     with np.errstate(over="ignore"):
-        for k, base in ((0, _B1), (1, _B2)):
-            # sum of hash * base ** (end - place): the same for the same sentences, wherever they are
-            up = _powers(base, n + 1)
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            down = _powers(inverse, n + 1)
-            sums = np.append(np.uint64(0), np.cumsum(raw[:, k] * down[:n]))
-            h = (sums[end] - sums[first]) * up[first]
-            h ^= (end - first).astype(np.uint64) * _B2
-            h = (h ^ (h >> np.uint64(29))) * _B1
-            out.append(h ^ (h >> np.uint64(32)))
-    return real[first], real[end - 1] + 1, out[0], out[1]
+        for h, base in zip((one, two), _BASES):
+            # Sum of hash * base ** (place - first place): the same for the same words, wherever they are.
+            up, down = powers(base, len(h) + 1), powers(pow(base, -1, 1 << 64), len(h) + 1)
+            sums = np.append(np.uint64(0), np.cumsum(h * up[:-1]))
+            hashes.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(base)))
+    return Cut(part_at, begin, np.searchsorted(first, part_at), first, end, *(h.view(np.int64) for h in hashes))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, _, a, b = runs(sentences(text or ""))
-            _, at = np.unique(a, return_index=True)
-            ids.append(np.full(len(at), NULL_ID if doc_id is None else doc_id, np.int64))
-            one.append(a[at])
-            two.append(b[at])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))], ["doc", "h1", "h2"])
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lo, hi in slices(texts):
+            c = cut(texts[lo:hi])
+            once = ~c.repeated()
+            names = np.array([NULL_ID if x is None else x for x in ids[lo:hi]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, np.diff(c.run_at))[once]), pa.array(c.h1[once]), pa.array(c.h2[once])], ["doc", "h1", "h2"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, counts, gone = [], [], []
-        for text, later in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            parts = sentences(text or "")
-            start, end, h, _ = runs(parts)
-            _, at = np.unique(h, return_index=True)
-            repeated = np.ones(len(h), bool)
-            repeated[at] = False
-            if later:
-                repeated |= np.isin(h.view(np.int64), np.array(later, np.int64))
-            edge = np.zeros(len(parts) + 1, np.int64)
-            np.add.at(edge, start[repeated], 1)
-            np.add.at(edge, end[repeated], -1)
-            stay = np.cumsum(edge)[:-1] == 0
-            counts.append(len(parts))
-            gone.append(int((~stay).sum()))
-            texts.append(text if not gone[-1] else "".join(p for p, s in zip(parts, stay) if s))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
+        ids, texts, found = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for lo, hi in slices(texts):
+            c = cut(texts[lo:hi])
+            goes = c.repeated()
+            for k, later in enumerate(found[lo:hi]):
+                if later:
+                    own = slice(c.run_at[k], c.run_at[k + 1])
+                    goes[own] |= np.isin(c.h1[own], np.array(later, np.int64))
+            edge = np.zeros(len(c.begin) + 1, np.int64)
+            np.add.at(edge, c.first[goes], 1)
+            np.add.at(edge, c.end[goes], -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            total = np.append(0, np.cumsum(gone))
+            n_gone = total[c.part_at[1:]] - total[c.part_at[:-1]]
+            out = texts[lo:hi]
+            for k in np.flatnonzero(n_gone).tolist():
+                a, b = c.part_at[k], c.part_at[k + 1]
+                edges = [*c.begin[a:b].tolist(), len(out[k])]
+                out[k] = "".join(out[k][x:y] for x, y, g in zip(edges, edges[1:], gone[a:b]) if not g)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(np.diff(c.part_at), pa.int64()), pa.array(n_gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:

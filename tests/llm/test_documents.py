@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 
 from lodestone.llm import decontaminate, jaccard, lm, pii, quality, rules, substring
 from lodestone.llm.common import only, table
+from lodestone.llm.wordhash import hashed
 
 
 def frame(spark, rows, extra="row string, text_ int"):
@@ -98,6 +100,29 @@ def test_classifier(spark):
 # Substring deduplication
 
 
+def plain_parts(text):
+    """The parts of a text as (begin, lower-cased words), by loops."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+    if not found:
+        return []
+    opens = [not i or "\n" in text[found[i - 1][1] : a] or text[found[i - 1][1] - 1] in ".!?" for i, (a, _) in enumerate(found)]
+    low = [text[a:b].lower() for a, b in found]
+    key = [0 if o else int(hashed([w])[0][0] >> np.uint64(1)) + 1 for o, w in zip(opens, low)]
+    for i in range(len(key) - 7):
+        opens[min(range(i, i + 8), key=lambda j: key[j])] = True
+    at = [i for i, o in enumerate(opens) if o]
+    return [(found[i - 1][1] if i else 0, low[i:j]) for i, j in zip(at, [*at[1:], len(low)])]
+
+
+def plain_runs(parts):
+    """(first part, part after the last, words) of the runs."""
+    for i in range(len(parts)):
+        for j in range(i + 3, len(parts) + 1):
+            if sum(len(w) for _, w in parts[i:j]) >= 28:
+                yield i, j, tuple(x for _, w in parts[i:j] for x in w)
+                break
+
+
 def test_substring(spark):
     r = np.random.default_rng(2)
     sentence = lambda: words(r, int(r.integers(1, 14)), 500).capitalize() + "."
@@ -109,25 +134,23 @@ def test_substring(spark):
         if i % 3 == 0:
             parts.insert(len(parts) // 2, passage)
         rows.append((i, " ".join(parts)))
-    rows += [(50, f"Before. {flat}dr and. After it."), (51, f"Other words {flat}dr end. More."), (52, passage + "\n" + passage), *EDGE]
+    rows += [(50, f"Before. {flat}dr and. After it."), (51, f"Other words {flat}dr end. More."), (52, passage + "\n" + passage), (53, "la " * 90), (54, " \n la\u3000" + "la " * 70 + "\n"), (55, "\u0130 \u03a3\u03a3 " * 40), (56, "x " + "\u0130 \u03a3\u03a3 " * 40), (57, words(r, 20_000, 9000)), *EDGE]
     got = {}
     for x in substring.remove_repeated(frame(spark, rows, "doc string, later int")).collect():
         got.setdefault((x["doc_id"]), []).append(x)
     seen, first_of = {}, lambda i: substring.NULL_ID if i is None else i
     for i, t in sorted(rows, key=lambda x: first_of(x[0])):
-        parts = substring.sentences(t or "")
-        assert "".join(parts) == (t or "")
-        start, end, *_ = substring.runs(parts)
+        parts = plain_parts(t)
         gone, own = set(), set()
-        for a, b in zip(start.tolist(), end.tolist()):
-            key = tuple(f for f in (" ".join(p.lower().split()) for p in parts[a:b]) if f)
+        for a, b, key in plain_runs(parts):
             if key in own or seen.get(key, first_of(i)) != first_of(i):
                 gone |= set(range(a, b))
             own.add(key)
         for key in own:
             seen.setdefault(key, first_of(i))
-        want = t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone)
-        assert all(x["text"] == want and x["n_removed"] == len(gone) for x in got[i]), i
+        edges = [a for a, _ in parts] + [len(t or "")]
+        want = t if not gone else "".join(t[edges[k] : edges[k + 1]] for k in range(len(parts)) if k not in gone)
+        assert all((x["text"], x["n_sentences"], x["n_removed"]) == (want, len(parts), len(gone)) for x in got[i]), i
     assert sum(passage in (x["text"] or "") for xs in got.values() for x in xs) == 1
     assert substring.remove_repeated(frame(spark, [])).count() == 0
 
@@ -151,8 +174,8 @@ def test_substring_meets_every_passage(spark, place):
             own = [b[i : i + 50] + a[at : at + 51] + b[i + 50 : i + 100], c[j : j + 50] + a[at : at + 51] + c[j + 50 : j + 100]]
             if place == "bare":
                 own = [["".join(filter(str.isalnum, w)) or "x" for w in x] for x in own]
-            one, two = (set(substring.runs(substring.sentences(" ".join(x)))[2].tolist()) for x in own)
-            assert one & two
+            c = substring.cut([" ".join(x) for x in own])
+            assert set(c.h1[: c.run_at[1]].tolist()) & set(c.h1[c.run_at[1] :].tolist())
 
 
 # Language model
@@ -215,8 +238,6 @@ def test_pii(spark):
     got = {}
     for x in pii.pseudonymise(frame(spark, rows, "n_ip string, m int")).collect():
         got[x["doc_id"]] = x
-    import re
-
     one = got[1]["text"]
     cards = re.findall(r"\d[\d -]{14,}\d", one)
     digits = [re.sub(r"\D", "", x) for x in cards]
@@ -303,6 +324,17 @@ def test_decontaminate_by_length(spark, n):
     assert all(i == d // 2 for d, i in found)
 
 
+def test_decontaminate_by_row(spark):
+    """A row goes for its own text alone, whatever rows share its doc_id."""
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(1, f"a b {item} c"), (1, "clean"), (None, item), (None, "clean too"), (2, None), (2, ""), (2, item), (2, item), (3, "z " * 60_000 + item)]
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    kept = Counter((x["doc_id"], x["text"]) for x in decontaminate.decontaminate(frame(spark, rows, "item_id string, uid int"), bench).collect())
+    assert kept == Counter([(1, "clean"), (None, "clean too"), (2, None), (2, "")])
+    found = {x["doc_id"]: x for x in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(found) == {1, 2, 3, None} and found[3]["first_words"] == [60_000]
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
