@@ -12,16 +12,17 @@ def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (node, root) for every node of a link; root is the smallest node reachable.
 
     A large star hangs a node's larger neighbours on its smallest one, a small star its
-    smaller neighbours; minima are partial aggregates, so a hub is no large group. The
-    number of rounds is logarithmic in the longest path.
+    smaller neighbours. Minima are partial aggregates and settled before they are joined,
+    so neither a hub's minimum nor its links are one task's: the join's rows of a hot key
+    can be split. The number of rounds is logarithmic in the longest path.
     """
     edges = settle(links.filter("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.join(low, "a").filter("b > a").selectExpr("b as a", "m as b")
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m"))
+        large = settle(both.join(low, "a").filter("b > a").selectExpr("b as a", "m as b"))
+        small_low = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         hung = large.join(small_low, "a")
         edges = settle(hung.filter("b <> m").selectExpr("b as a", "m as b").unionByName(small_low.selectExpr("a", "m as b")).distinct())
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -12,18 +12,20 @@ many slices there are, are replicated into the next class.
 The second level is the textbook one: of each region the most central member, the one
 that meets most others in its regions, is the pivot, and all members are measured
 against it. What has one pivot is its Voronoi cell, and border members are in several
-cells. Members in the pivot's ball are settled as one component. The others recur within
-the cell: by the triangle inequality two members can only link if their distances to the
-pivot differ by no more than the link distance, counts of shingles in buckets bound
-their distance from below, and what is left is measured exactly, without pairs already
-in one component. A large cell is compared in pairs of blocks, each in its own task.
-Equal sets are one class from the start, so copies are never
+cells. Members in the pivot's component are settled: they are not compared with each
+other. The others of the cell, its strangers, meet all its members: by the triangle
+inequality two members can only link if their distances to the pivot differ by no more
+than the link distance, counts of shingles in buckets bound their distance from below,
+and what is left is measured exactly. A large cell is compared in blocks, each block of
+members with each block of strangers in a task, so a cell of near copies costs in
+proportion to its members. Equal sets are one class from the start, so copies are never
 paired.
 
 Defined results: texts without words have the empty set, link with nothing and are
 their own component; rows with a null doc_id are grouped like others, and a component's
 id is the smallest doc_id that is not null (null if there is none); equal rows are in
-one component; extra columns are ignored; an empty table gives no rows.
+one component; very long texts are read whole; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 from lodestone.llm.graph import components
+from lodestone.llm.wordhash import hashed
 
 WORDS, LINK = 4, 85
 #: Members of a cell that one task compares with as many others.
@@ -50,8 +51,6 @@ BUCKETS = 256
 #: Bits of the filters that workers hold; a fuller filter lets more rows pass and changes no result.
 FILTER_BITS, BITS_A_WORD = 1 << 24, 63
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_words: dict[bytes, int] = {}
-memo.register("jaccard", _words.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,21 +59,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; fewer words are one shingle."""
-    memo.use("jaccard")
-    if len(_words) > 400_000:
-        _words.clear()
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    out = []
-    for w in words:
-        c = _words.get(w)
-        if c is None:
-            c = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(c)
-    codes = np.array(out, np.uint64)
+def _shingles(codes: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of a text's word hashes; fewer words are one shingle."""
+    if not len(codes):
+        return codes
     width = min(n, len(codes))
     h = np.full(len(codes) - width + 1, width, np.uint64)
     for k in range(width):
@@ -82,6 +70,13 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+def sets_of(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
+    """The shingles of each text."""
+    codes, at = hashed(texts, ascii_only=True)
+    for a, b in zip(at, at[1:]):
+        yield _shingles(codes[a:b], n)
+
+
 def most_different(n: int, link: int = LINK) -> int:
     """The largest symmetric difference of a set of n shingles with one that it links with."""
     return int((100 - link) * (n + n * 100 / link) / (100 + link) + 1e-9)
@@ -157,8 +152,7 @@ def summarise(docs: DataFrame, n: int, link: int, seed: int) -> DataFrame:
             sizes, nodes, twins, odds, lists, held = [], [], [], [], [], []
             if len(seen) > 1_000_000:
                 seen.clear()
-            for text in batch.column(1).to_pylist():
-                h = shingles(text, n)
+            for h in sets_of(batch.column(1).to_pylist(), n):
                 node, twin = prints(h, seed)
                 own, odd = (np.zeros(0, np.uint64), False) if node in seen else regions(h, link)
                 held.append(None if node in seen or not len(h) else counts(h))
@@ -193,29 +187,29 @@ def _spot(name: str):
 
 
 def _close_pairs(link: int):
-    """A function of a group of members of a cell (of one block, or of two): the pairs that may link and are not in one component."""
-    reach, at_once = (100 - link) / 100 + 1e-9, 1 << 16
+    """A function of a block of a cell and a block of its strangers, which ask: the pairs that may link and are not in one component."""
+    reach, at_once = (100 - link) / 100 + 1e-9, 1 << 20
 
     def run(group: pa.Table) -> pa.Table:
-        node, n, root, own = (group.column(c).to_numpy() for c in ("node", "n", "root", "own"))
+        node, n, root = (group.column(c).to_numpy() for c in ("node", "n", "root"))
         d = group.column("d").to_numpy(zero_copy_only=False).astype(float)  # not measured: not a number
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-        two = len(group) and group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        step, out_a, out_b = max(1, at_once // max(1, len(node))), [], []
-        for lo in range(0, len(node), step):
-            x = slice(lo, lo + step)
-            fine = (root[x, None] != root[None]) & (node[x, None] < node[None])
-            fine &= np.minimum(n[x, None], n[None]) * 100 >= np.maximum(n[x, None], n[None]) * link
-            fine &= ~(np.abs(d[x, None] - d[None]) > reach)  # by the triangle inequality
-            if two:
-                fine &= own[x, None] != own[None]
-            i, j = np.nonzero(fine)
-            i += lo
-            ci, cj = counts[i], counts[j]
-            differ = np.where((ci < 255) & (cj < 255), np.abs(ci - cj), 0).sum(axis=1)
-            ok = 100 * (n[i] + n[j] - differ) >= link * (n[i] + n[j] + differ)
-            out_a.append(np.minimum(node[i[ok]], node[j[ok]]))
-            out_b.append(np.maximum(node[i[ok]], node[j[ok]]))
+        asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        asking, met = np.flatnonzero(asks), np.flatnonzero(~asks)
+        step, out_a, out_b = max(1, at_once // max(1, len(met))), [], []
+        for lo in range(0, len(asking), step):
+            x = asking[lo : lo + step, None]
+            fine = root[x] != root[met]
+            fine &= np.minimum(n[x], n[met]) * 100 >= np.maximum(n[x], n[met]) * link
+            fine &= ~(np.abs(d[x] - d[met]) > reach)  # by the triangle inequality
+            every_i, every_j = np.nonzero(fine)
+            for k in range(0, len(every_i), 1 << 16):
+                i, j = asking[lo + every_i[k : k + (1 << 16)]], met[every_j[k : k + (1 << 16)]]
+                ci, cj = counts[i], counts[j]
+                differ = np.where((ci < 255) & (cj < 255), np.abs(ci - cj), 0).sum(axis=1)
+                ok = 100 * (n[i] + n[j] - differ) >= link * (n[i] + n[j] + differ)
+                out_a.append(np.minimum(node[i[ok]], node[j[ok]]))
+                out_b.append(np.maximum(node[i[ok]], node[j[ok]]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([*out_a, none]), "b": np.concatenate([*out_b, none])})
 
@@ -251,17 +245,19 @@ class Join:
 
         met = entered.select("region", "node", _spot("region")).mapInArrow(run, "region long, node long")
         inside = settle(met.join(shared, "region").distinct())
-        size = inside.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        weight = inside.join(size, "region").groupBy("node").agg(F.sum("size").alias("weight"))
-        weighed = inside.join(weight, "node")
-        return settle(weighed.join(weighed.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("m")).select("region", F.col("m.node").alias("pivot")), "region"))
+        # What is aggregated by a key is settled before it is joined by that key, so a hot key's rows can be split among tasks.
+        size = settle(inside.groupBy("region").agg(F.count(F.lit(1)).alias("size")))
+        weight = settle(inside.join(size, "region").groupBy("node").agg(F.sum("size").alias("weight")))
+        weighed = settle(inside.join(weight, "node"))
+        central = settle(weighed.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("m")).select("region", F.col("m.node").alias("pivot")))
+        return settle(weighed.join(central, "region"))
 
     def _singles(self, most: int) -> DataFrame:
         n, link, seed = self.n, self.link, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
+                sets = list(sets_of(batch.column(0).to_pylist(), n))
                 lists = [single(h, most, link).view(np.int64) for h in sets]
                 nodes = np.repeat(np.array([prints(h, seed)[0] for h in sets], np.int64), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], ["node", "region"])
@@ -276,7 +272,7 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [shingles(t, n) for t in batch.column(0).filter(_held(packed.value, batch.column(1).to_numpy())).to_pylist()]
+                found = list(sets_of(batch.column(0).filter(_held(packed.value, batch.column(1).to_numpy())).to_pylist(), n))
                 offsets = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
                 flat = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([prints(h, seed)[0] for h in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "set"])
@@ -330,22 +326,31 @@ class Join:
         distance = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
         cell = members.select("pivot", "node").distinct().join(distance, ["pivot", "node"], "left").join(roots, "node", "left")
         cell = settle(cell.select("pivot", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), F.coalesce("root", "node").alias("root")))
-        split = cell.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("pivot", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-        # Of larger cells every two blocks meet in a group of their own.
-        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        block = cell.filter("node <> pivot").join(split, "pivot").join(self.nodes.select("node", "n"), "node").join(self.counts(), "node")
-        met = block.select("pivot", "node", "n", "root", "d", "counts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        pairs = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
+        # What is in the pivot's component needs no comparison with its like: only the others of the cell, the strangers, meet all.
+        home = cell.filter("node = pivot").select("pivot", F.col("root").alias("home"))
+        strange = F.col("root") != F.col("home")
+        placed = settle(cell.filter("node <> pivot").join(home, "pivot").select("pivot", "node", "d", "root", strange.alias("strange")))
+        count = lambda c: F.ceil(c / BLOCK).cast("long")
+        split = settle(placed.groupBy("pivot").agg(count(F.count(F.lit(1))).alias("blocks"), count(F.count(F.when(F.col("strange"), 1))).alias("strangers"), F.count(F.lit(1)).alias("size")).filter("strangers > 0 and size > 1").drop("size"))
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        block = settle(placed.join(split, "pivot").join(self.nodes.select("node", "n"), "node").join(self.counts(), "node"))
+        shown = ["pivot", "node", "n", "root", "d", "counts"]
+        every = block.select(*shown, F.lit(False).alias("asks"), own("blocks").alias("i"), spread("strangers").alias("j"))
+        asking = block.filter("strange").select(*shown, F.lit(True).alias("asks"), spread("blocks").alias("i"), own("strangers").alias("j"))
+        pairs = every.unionByName(asking).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
         more = self.measured(pairs, near.select("a", "b"))
         return settle(links.unionByName(more.filter(linked).select("a", "b")))
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+        """doc_id, n_shingles, component_id of every row. Sets get their component first, so copies are met once, at the end."""
         roots = components(self.links())
-        rows = self.all.select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-        low = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        some = rows.filter("n > 0").join(low, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        none = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        rooted = settle(self.nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+        low = settle(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+        of = settle(rooted.join(low, "root").select("node", "component_id"))
+        rows = self.all.select("doc_id", F.col("n").alias("n_shingles"), "node")
+        some = rows.filter("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", "component_id")
+        none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return some.unionByName(none)
 
 
@@ -355,12 +360,12 @@ def link_documents(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFrame:
-    """docs with one document of each component: the row that is first by doc_id (null last) and text, and rows of the
-    component with its doc_id, which are the same document. Documents without words stay."""
+    """docs with one row of each component: the first by doc_id (null last), then text; of equal rows any one. Rows have a
+    key of their own, so none goes for its doc_id. Rows without words stay."""
     named = settle(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("key")))
     classes = settle(link_documents(named.select(F.col("key").alias("doc_id"), "text"), n, link).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")))
-    many = classes.groupBy("of").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("of")
-    members = named.select("key", "doc_id", "text").join(classes.join(many, "of"), "key")
-    first = members.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text", "key")).alias("first")).select("of", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
-    gone = members.select("key", "doc_id", "of").join(first, "of").filter("key <> first_key and not coalesce(doc_id = first_id, false)").select("key")
-    return named.select("row", "key").join(settle(gone), "key", "left_anti").select("row.*")
+    many = settle(classes.groupBy("of").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("of"))
+    members = settle(named.select("key", "doc_id", "text").join(classes.join(many, "of"), "key"))
+    first = members.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    gone = settle(members.select("key").join(first, "key", "left_anti"))
+    return named.select("row", "key").join(gone, "key", "left_anti").select("row.*")

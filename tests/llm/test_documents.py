@@ -425,16 +425,39 @@ def test_keep_one(spark):
     rows = near_copies()
     kept = jaccard.keep_one(frame(spark, rows, "_gone string, n int"))
     assert kept.columns == ["doc_id", "text", "_gone", "n"]
-    want = Counter(d for d, n, c in brute_components(rows) if n == 0 or d == c or d is None and c is None)
-    assert Counter(x["doc_id"] for x in kept.collect()) == want
+    # Unique ids tell the components; of each one row stays, the first by doc_id and text.
+    own = [(i, t) for i, (_, t) in enumerate(rows)]
+    groups = {}
+    for i, n, c in brute_components(own):
+        groups.setdefault((n == 0, c), []).append(rows[i])
+    want = Counter(min(g, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) for g in groups.values())
+    assert Counter((x["doc_id"], x["text"]) for x in kept.collect()) == want
 
 
 def test_keep_one_decides_by_row(spark):
-    """Rows are lost for their own text, never for sharing a doc_id, null or not, with a copy."""
+    """One row of each component stays, and no row goes for sharing a doc_id, null or not, with a copy."""
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
-    rows = [(1, a), (None, a), (None, b), (None, ""), (7, a), (7, c), (None, d), (None, d), (None, d)]
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, ""), (None, None), (2, a + " tail"), (7, a), (7, c), (None, d), (None, d), (None, d)]
     kept = [(x["doc_id"], x["text"]) for x in jaccard.keep_one(frame(spark, rows)).collect()]
-    assert Counter(kept) == Counter([(1, a), (None, b), (None, ""), (7, c), (None, d)])
+    assert Counter(kept) == Counter([(1, a), (None, b), (None, ""), (None, None), (7, c), (None, d)])
+    assert jaccard.keep_one(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_cells_of_any_size(spark, monkeypatch, block):
+    """Cells in blocks of few members give the same components, also where many strangers share a passage."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = np.random.default_rng(31)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = []
+    for k in range(30):
+        own = " ".join(f"o{k}x{i}" for i in range(40))
+        for _ in range(3):
+            w = f"{shared} {own}".split()
+            w[int(r.integers(len(w)))] = f"e{r.integers(9999)}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard.link_documents(frame(spark, rows))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute_components(rows)))
 
 
 def test_near_duplicates_of_the_pipeline(spark):
