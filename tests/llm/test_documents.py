@@ -181,44 +181,69 @@ def test_substring_meets_every_passage(spark, place):
 # Language model
 
 
-def test_lm(spark):
+def plain_words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_lm(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(i, " ".join(f"{'a' if i % 2 else 'b'}{min(x, 80)}" for x in r.zipf(1.5, int(r.integers(0, 200))))) for i in range(150)] + EDGE
-    old = lm.HELD, lm.SHORT
-    lm.HELD, lm.SHORT = 40, 20
-    try:
-        got = lm.learn_and_score(frame(spark, rows, "score string, uid int")).collect()
-    finally:
-        lm.HELD, lm.SHORT = old
+    rows += [(7000, "Long Text " * 30_000), (7001, "\u00c4 \u00e4 \u2003x y"), (7002, "z")]
+    monkeypatch.setattr(lm, "HELD", 40)
+    monkeypatch.setattr(lm, "OWN", 0.4)
+    got = lm.learn_and_score(frame(spark, rows, "score string, uid int")).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c, ends = Counter(), 0
     for i, t in rows:
         if not held(i):
-            c.update(lm.words_of(t))
+            c.update(plain_words(t))
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
+    assert lm.OWN * n**lm.GROWTH < 60 < len(c)
     want = Counter()
     for i, t in rows:
-        w = lm.words_of(t)
+        w = plain_words(t)
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-        want[i, held(i), len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
-    assert want == Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got)
-    assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
-
-
-def test_lm_is_normalised(spark):
-    train = frame(spark, [(i, "x y z x y " + chr(97 + i % 9) * 3) for i in range(60)])
-    old = lm.SHORT
-    lm.SHORT = 3
-    try:
-        _, v = lm.count_words(train)
-        model = lm.train_model(train, v)
-    finally:
-        lm.SHORT = old
-    z = model.normalised()
-    for a, b in ((0, 1), (v.size, v.size)):
-        logs = ((model.context[0][a] + model.context[1][b]) @ model.target.T + model.bias) / math.log(10) - z[a, b]
+        want[i, held(i), len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(base, 5)] += 1
+    assert want == Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 5)) for x in got)
+    assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got) and all(x["score"] < 0 for x in got)
+    assert lm.learn_and_score(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("group", [1 << 21, 3000])
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch, group):
+    """One partition or many give the same model, of one group of documents or of several."""
+    monkeypatch.setattr(lm, "GROUP", group)
+    r = np.random.default_rng(6)
+    df = frame(spark, [(i, " ".join(f"w{min(x, 400)}" for x in r.zipf(1.3, 60))) for i in range(400)])
+    one, many = ({x["doc_id"]: x["score"] for x in lm.learn_and_score(d).collect()} for d in (df.coalesce(1), df.repartition(64)))
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], abs=1e-4) for k in one)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(64)
+    s = lm.learn_and_score(docs).filter("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
+    assert s["s"] / s["n"] > s["b"] / s["n"] + 0.1
+
+
+def test_lm_is_normalised(spark, monkeypatch):
+    monkeypatch.setattr(lm, "OWN", 1)
+    train = frame(spark, [(i, "x y z x y " + chr(97 + i % 9) * 3 + f" q{i}") for i in range(60)])
+    counts, v = lm.count_words(train)
+    assert 5 < v.own < len(v.keys)
+    each = lm.encode(train.selectExpr("doc_id", "false as held_out", "text"), v).select("symbols")
+    v.set_clusters(lm.clusters_of(lm.company(each, v), v.counts[: v.own]))
+    assert v.clusters > 1 and sorted(np.concatenate(v.members)) == list(range(v.own))
+    model = lm.train_model(each, v)
+    every = np.arange(v.end + 1)
+    for a, b in ((0, 1), (v.begin, v.begin), (v.own + 3, 2)):
+        logs = model.logs(np.full(len(every), a), np.full(len(every), b), every)
         assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
+    # Within a kind, the shares of its words and of unknown ones.
+    n = {r["key"]: (r["kind"], r["n"]) for r in counts.collect()}
+    own = set(v.keys[: v.own].view(np.int64).tolist())
+    for k in range(lm.KINDS):
+        assert sum(c + 0.1 for key, (kind, c) in n.items() if kind == k and key not in own) + 0.1 == pytest.approx(v.mass[k])
 
 
 # Personal data
