@@ -2,15 +2,17 @@
 
 Documents are dealt out by ranges of doc_id, one shard a range, and a shard is encoded
 in ascending doc_id order, block by block. Within a block the most frequent pairs of
-neighbouring ids become nonterminals, again and again; a pair never spans two
-documents, so each document is a run of symbols that decodes alone. A row of the file
-is one block: its rules, the length to which each rule expands, the symbols, and for
-each document its id, its place among the symbols and the ids before it in the shard.
+neighbouring symbols become nonterminals, round after round, until no pair occurs
+``LEAST`` times, which is about where a rule still pays for itself; a pair never spans
+two documents, so each document is a run of symbols that decodes alone. A row of the file
+is one block: its first and last doc_id, its rules, the length to which each rule
+expands, the symbols, and for each document its id, its place among the symbols and the
+ids before it in the shard.
 Symbols are unsigned 16-bit integers as long as vocabulary and rules allow.
 
 Defined results: a null or empty text is its end id alone; null ids come first; equal
-ids are ordered by their text, equal rows are written each; extra columns are ignored;
-an empty table gives a file without rows.
+ids are ordered by their text, equal rows are written each; a very long text is a block
+of its own; extra columns are ignored; an empty table gives a file without rows.
 """
 
 from __future__ import annotations
@@ -31,55 +33,65 @@ from lodestone.llm.common import only, shared_dir
 END_ID = 0
 #: A block is closed at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-ROUNDS, PAIRS_A_ROUND, LEAST = 2, 2048, 16
-BLOCK = "shard int, block int, vocabulary int, doc_ids binary, known binary, starts binary, at binary, rules binary, rule_sizes binary, wide boolean, symbols binary"
+PAIRS_A_ROUND, LEAST = 2048, 16
+BLOCK = "shard int, block int, first_id long, last_id long, vocabulary int, doc_ids binary, known binary, starts binary, at binary, rules binary, rule_sizes binary, wide boolean, symbols binary"
 _BUCKETS = 17
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).view(np.int64)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, pairs: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids of documents that end before ends -> symbols, ends among the symbols, rules as rows of two symbols.
-    Rule k is written as the symbol vocabulary + k and uses earlier rules only."""
+    Rule k is written as the symbol vocabulary + k and uses earlier rules only. Rounds go on until no pair is left that
+    occurs least times; a round replaces its most frequent pairs, at most so many."""
     seq, rules, made = ids.astype(np.uint64), [], 0
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
-    stands, rank_of = np.zeros(1 << _BUCKETS, np.uint64), np.empty(1 << _BUCKETS, np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << np.uint64(32)
-        key |= seq[1:]
-        bucket = key * np.uint64(0x9E3779B97F4A7C15)
-        bucket >>= np.uint64(64 - _BUCKETS)
-        bucket = bucket.view(np.int64)
-        # A bucket stands for one of its pairs; others in it can have their turn in the next round.
-        stands[bucket] = key
-        same = stands[bucket] == key
-        same &= ~last[:-1]
-        where = np.flatnonzero(same)
-        own = bucket[where]
-        count = np.bincount(own, minlength=1 << _BUCKETS)
-        chosen = np.flatnonzero(count >= least)
+    turn = np.full(1 << _BUCKETS, -1, np.int64)
+    # Only pairs that are frequent enough, or new, can be replaced in a later round.
+    active = np.flatnonzero(~last[:-1])
+    while len(active):
+        key = seq[active] << np.uint64(32)
+        key |= seq[active + 1]
+        bucket = _bucket(key)
+        often = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= least)
+        active, key, bucket = active[often], key[often], bucket[often]
+        order = np.sort(key)
+        first = np.flatnonzero(np.append(True, order[1:] != order[:-1])[: len(order)])
+        count = np.diff(np.append(first, len(order)))
+        chosen, count = order[first[count >= least]], count[count >= least]
         if not len(chosen):
             break
-        if len(chosen) > pairs:
-            chosen = chosen[np.argpartition(-count[chosen], pairs)[:pairs]]
-        rank_of.fill(-1)
-        rank_of[chosen] = np.arange(len(chosen))
-        rank = rank_of[own]
-        hit = np.flatnonzero(rank >= 0)
-        where, rank = where[hit], rank[hit]
+        chosen = chosen[np.argsort(count, kind="stable")[-pairs:]]
+        # Of pairs in one bucket the most frequent has this round, others a later one.
+        own = _bucket(chosen)
+        turn[own] = np.arange(len(chosen))
+        chosen = chosen[turn[own] == np.arange(len(chosen))]
+        turn[_bucket(chosen)] = np.arange(len(chosen))
+        rank = turn[bucket]
+        hit = np.flatnonzero((rank >= 0) & (chosen[rank] == key))
+        turn[own] = -1
+        where, rank = active[hit], rank[hit]
         # Of occurrences that overlap in a row, take every other one.
         if (near := np.diff(where) == 1).any():
             heads = np.flatnonzero(np.append(True, ~near))
             head = np.repeat(heads, np.diff(np.append(heads, len(where))))
             take = (np.arange(len(where)) - head) % 2 == 0
             where, rank = where[take], rank[take]
-        seq[where] = vocabulary + made + rank
+        seq[where] = (vocabulary + made + rank).astype(np.uint64)
         last[where] |= last[where + 1]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
-        seq, last = seq[stay], last[stay]
-        rules.append(np.stack([stands[chosen] >> np.uint64(32), stands[chosen] & np.uint64(0xFFFFFFFF)], axis=1))
+        open_ = np.zeros(len(seq), bool)
+        open_[active] = open_[where] = True
+        # The symbol before a replaced pair; where it is itself the end of a replaced pair, that pair's first.
+        before = where[where > 0] - 1
+        open_[before - ~stay[before]] = True
+        open_ &= ~last
+        seq, last, active = seq[stay], last[stay], np.flatnonzero(open_[stay])
+        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1))
         made += len(chosen)
     return seq, np.flatnonzero(last) + 1, np.concatenate([*rules, np.zeros((0, 2), np.uint64)]).astype("<u4")
 
@@ -124,13 +136,13 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sh
             symbols, ends, rules = compress(np.concatenate(held), np.cumsum(counts), vocabulary)
             wide = vocabulary + len(rules) > 1 << 16
             row = {
-                "shard": shard, "block": block, "vocabulary": vocabulary,
+                "shard": shard, "block": block, "first_id": min((x for x in names if x is not None), default=None), "last_id": max((x for x in names if x is not None), default=None), "vocabulary": vocabulary,
                 "doc_ids": np.array([x or 0 for x in names], "<i8").tobytes(), "known": np.array([x is not None for x in names], "u1").tobytes(),
                 "starts": (before + np.append(0, np.cumsum(counts))).astype("<i8").tobytes(), "at": np.append(0, ends).astype("<i8").tobytes(),
                 "rules": rules.tobytes(), "rule_sizes": rule_sizes(rules, vocabulary).astype("<i8").tobytes(), "wide": wide, "symbols": symbols.astype("<u4" if wide else "<u2").tobytes(),
             }
             block, before, held, names, size = block + 1, before + int(counts.sum()), [], [], 0
-            kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.bool_(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
         for batch in batches:
@@ -165,8 +177,16 @@ class Block:
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the k-th document, its end id included; nothing else is decoded."""
-        own = self.symbols[self.at[k] : self.at[k + 1]].astype(np.int64)
-        return self.pool[_spans(self.first[own], self.size[own])]
+        return self._expanded(self.symbols[self.at[k] : self.at[k + 1]])
+
+    def every(self) -> list[np.ndarray]:
+        """Ids of all documents."""
+        at = (self.starts - self.starts[0]).tolist()
+        flat = self._expanded(self.symbols)
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        return self.pool[_spans(self.first[symbols], self.size[symbols])]
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -177,10 +197,10 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row)
-                own = [block.ids(i) for i in range(len(block.doc_ids))]
+                own = block.every()
                 arrays = [
                     pa.array(block.doc_ids, pa.int64(), mask=~block.known), pa.array([row["shard"]] * len(own), pa.int32()), pa.array(block.starts[:-1], pa.int64()),
-                    pa.array([len(x) for x in own], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                    pa.array([len(x) for x in own], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()),
                 ]
                 names = ["doc_id", "shard", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array([x.tobytes() for x in own], pa.binary())] * with_ids, names + ["ids"] * with_ids)
@@ -189,10 +209,9 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of the documents with this id, decoding only their own symbols."""
-    whole = F.col("doc_ids")
-    wanted = np.array([doc_id], "<i8").tobytes()
-    rows = spark.read.schema(BLOCK).parquet(path).filter(F.instr(F.hex(whole), wanted.hex().upper()) > 0).toLocalIterator()
+    """The ids of the documents with this id: files and blocks are skipped by their first and last id, and only the
+    documents' own symbols are decoded."""
+    rows = spark.read.schema(BLOCK).parquet(path).filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).toLocalIterator()
     return [block.ids(int(k)) for row in rows for block in [Block(row.asDict())] for k in np.flatnonzero((block.doc_ids == doc_id) & block.known)]
 
 
