@@ -17,7 +17,6 @@ of its own; extra columns are ignored; an empty table gives a file without rows.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import _spans, encoder
-from lodestone.llm.common import only, shared_dir
+from lodestone.llm.common import new_path, only
 
 END_ID = 0
 #: A block is closed at this many ids; a longer document is a block of its own.
@@ -218,7 +217,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
 def encode_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Writes all documents and reads the files back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = new_path(spark, "ids")
     write_shards(docs, path, tokenizer_path, end_id=end_id)
     sums = spark.read.schema(BLOCK).parquet(path)
     # Totals come from the blocks' own headers, so the symbols are decoded once.

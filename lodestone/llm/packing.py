@@ -10,7 +10,8 @@ on"; each piece finds its run by its rank among the pieces of its length, which
 only counts a partition.
 
 Defined results: a null or empty text is its end id alone; null ids stay; equal rows
-are packed each; extra columns are ignored; an empty table gives no rows.
+are packed each; a very long text is many pieces; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

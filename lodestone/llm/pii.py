@@ -9,8 +9,9 @@ names and secrets, which have no number format, get a keyed hash of the same alp
 Everything is a Spark expression; no Python runs on the executors.
 
 Defined results: a null text stays null and an empty one empty; values that fail their
-validation stay; null ids stay; equal rows give equal rows; extra columns stay, except
-that a clash with the count columns is resolved for the counts.
+validation stay; null ids stay; very long texts are read whole; equal rows give equal
+rows; extra columns stay, except that a clash with the count columns is resolved for the
+counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
-DEFAULT_KEY = "lodestone"
 
 # Fixed formats. Each is guarded on both sides and bounded in length, so a search is linear in the text.
 FORMATS = {
@@ -156,8 +156,11 @@ def _kind(m: str) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """docs with the text's personal data replaced, and counts of what was: n_email, n_ip, n_date, n_phone, n_ssn, n_card, n_secret (long)."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with the text's personal data replaced, and counts of what was: n_email, n_ip, n_date, n_phone, n_ssn, n_card, n_secret (long).
+    Who knows the key can undo the permutations, so it is the caller's and has no default."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     k = _sql(key)
     makers = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card, "secret": _secret}
     replaced = "case x.kind " + " ".join(f"when '{name}' then {f('x.value', k)}" for name, f in makers.items()) + " else x.value end"

@@ -12,7 +12,8 @@ documents at most, those first by a hash of doc_id, none longer than ``SAMPLE_BY
 
 Defined results: null and empty texts are scored as an empty chunk; rows with a null
 doc_id are scored and not held out; without any labelled row every score is 0.5; equal
-rows are scored each; extra columns are ignored.
+rows are scored each; very long texts are scored whole, chunk by chunk; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,6 +15,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the queries where the session names none; a key for tests, not for use.
+TEST_KEY = "test key of the queries"
+
+
+def secret_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.lodestone.pii.key", TEST_KEY)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack_documents
 
@@ -62,7 +70,7 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import only
     from lodestone.llm.pii import pseudonymise
 
-    return pseudonymise(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pseudonymise(only(table(spark, sf_dir, "documents"), "doc_id", "text"), secret_key(spark))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

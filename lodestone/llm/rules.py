@@ -4,7 +4,8 @@ Every measure is a Spark expression over the whole text and every rule a row of
 ``RULES``; ``verdict`` turns the table into one boolean column. No user function runs.
 
 Defined results: a null text counts as empty; an empty text fails the base rule; null
-ids stay; equal rows are judged each; extra columns are ignored.
+ids stay; equal rows are judged each; very long texts are judged whole; extra columns are
+ignored, and stay in ``keep_good``; an empty table gives no rows.
 """
 
 from __future__ import annotations

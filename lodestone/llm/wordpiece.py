@@ -8,7 +8,8 @@ the pieces, and no piece is ever built. Words are stepped through the automaton
 side in numpy and remembered by worker.
 
 Defined results: a null or empty text has no words and no tokens; null ids stay; equal
-rows are counted each; extra columns are ignored.
+rows are counted each; very long texts are counted whole; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -55,6 +56,11 @@ def test_rules_on_labels(spark):
     assert sum(good) >= 0.99 * len(good) and sum(not r["kept"] for r in rows if r["quality"] == 0) >= 0.9 * sum(r["quality"] == 0 for r in rows)
 
 
+def test_rules_long_text(spark):
+    r = rules.judge(frame(spark, [(1, "\n".join(f"w{i} x" for i in range(60_000)))])).first()
+    assert r["n_words"] == 120_000 and r["n_repeat_words"] == 0 and r["n_dup_lines"] == 0
+
+
 # Quality classifier
 
 
@@ -91,6 +97,7 @@ def test_classifier(spark):
     held = [(rows[r["doc_id"]]["score"], r["quality"]) for r in table(spark, d, "labels").collect() if rows[r["doc_id"]]["held_out"]]
     good, bad = [s for s, q in held if q], [s for s, q in held if not q]
     assert np.mean([a > b for a in good for b in bad]) > 0.9
+    assert quality.classify(frame(spark, []), model).count() == 0
     edge = quality.classify(frame(spark, [*EDGE, (9, "x" * 200_001)], "score string, labels int"), model).collect()
     assert len(edge) == len(EDGE) + 1 and all(0 <= r["score"] <= 1 for r in edge)
     assert quality.classify(frame(spark, EDGE), None).first()["score"] == 0.5
@@ -261,7 +268,7 @@ def test_pii(spark):
         *EDGE,
     ]
     got = {}
-    for x in pii.pseudonymise(frame(spark, rows, "n_ip string, m int")).collect():
+    for x in pii.pseudonymise(frame(spark, rows, "n_ip string, m int"), "one").collect():
         got[x["doc_id"]] = x
     one = got[1]["text"]
     cards = re.findall(r"\d[\d -]{14,}\d", one)
@@ -277,19 +284,39 @@ def test_pii(spark):
     assert got[6]["text"] == rows[5][1] and got[1000]["text"] is None and got[1001]["text"] == ""
     again = pii.pseudonymise(frame(spark, rows), key="other").filter("doc_id = 5").first()
     assert again["text"] != got[5]["text"]
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), "one").count() == 0
 
 
 def test_pii_is_a_permutation(spark):
     dates = spark.range(0, 4000).selectExpr("id as doc_id", "date_format(date_add(date'1990-01-01', cast(id as int)), 'yyyy-MM-dd') as text")
     ips = spark.range(0, 3000).selectExpr("id as doc_id", "concat('10.0.', id div 250, '.', id % 250) as text")
     for df, n in ((dates, 4000), (ips, 3000)):
-        out = pii.pseudonymise(df)
+        out = pii.pseudonymise(df, "one")
         assert out.select("text").distinct().count() == n and out.join(df, ["doc_id", "text"]).count() < 5
 
 
+def test_pii_is_the_feistel_network(spark):
+    """Addresses against a plain network with the same key."""
+
+    def plain(value, left, right, name):
+        a, b = divmod(value, right)
+        for i in range(1, pii.ROUNDS + 1):
+            prf = lambda half: int(hashlib.sha256(f"one/{name}/{i}/{left}/{half}".encode()).hexdigest()[:15], 16)
+            a, b = ((a + prf(b) % left) % left, b) if i % 2 else (a, (b + prf(a) % right) % right)
+        return a * right + b
+
+    r = np.random.default_rng(8)
+    rows = [(i, ".".join(map(str, r.integers(0, 256, 4)))) for i in range(200)] + [(500, "x " * 100_000 + "1.2.3.4")]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame(spark, rows), "")
+    for x in pii.pseudonymise(frame(spark, rows), "one").collect():
+        old = dict(rows)[x["doc_id"]].split()[-1]
+        n = plain(int.from_bytes(bytes(map(int, old.split("."))), "big"), 65536, 65536, "ip")
+        assert x["text"].split()[-1] == ".".join(map(str, n.to_bytes(4, "big"))) and len(x["text"].split()) == len(dict(rows)[x["doc_id"]].split())
+
+
 def test_pii_plan_has_no_python(spark):
-    plan = pii.pseudonymise(frame(spark, EDGE))._jdf.queryExecution().toString()
+    plan = pii.pseudonymise(frame(spark, EDGE), "one")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

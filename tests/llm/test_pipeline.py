@@ -48,7 +48,7 @@ def test_stages(spark, sf):
     con.register("documents", pa.table({"doc_id": list(start), "text": [r["text"] for r in start.values()]}))
     assert set(rules) == {d for d, k in con.sql(f"select doc_id, kept from ({rules_sql()})").fetchall() if k} and rules.items() <= start.items()
 
-    want = {d for d, n, c in brute_components([(d, r["text"]) for d, r in rules.items()]) if n == 0 or d == c}
+    want = {d for d, n, c in brute_components([(d, r["text"]) for d, r in rules.items()], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_LINK) if n == 0 or d == c}
     assert set(near) == want and len(near) < len(rules)
 
     items = [r["text"].lower().split() for r in table(spark, sf, "benchmark").collect()]
@@ -83,3 +83,25 @@ def test_run(spark, sf):
     empty = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Null ids, shared ids, equal rows, nulls in any column and columns of clashing names go through every stage."""
+    good = [r["text"] for r in corpus_pipeline.quality_rules(spark, table(spark, sf, "documents"), sf).orderBy("doc_id").limit(40).collect()]
+    item = table(spark, sf, "benchmark").first()["text"]
+    rows = [(None, good[0]), (None, good[1]), (5, good[2]), (5, good[3]), (5, good[3]), (6, good[2]), (7, None), (None, None), (8, ""), (9, good[4] + " " + item), (9, good[5] + " mail a.b@example.org")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, uid int, `key` int, item_id int, component_id long"
+    docs = spark.createDataFrame([(d, t, None, None, len(t or ""), "r", 1, None, 2, 3) for d, t in rows], schema)
+    near = settle(corpus_pipeline.near_duplicates(spark, docs, sf))
+    assert near.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in near.collect())
+    want = [r for i, r in enumerate(rows) if i not in (4, 5)]
+    assert len(kept) <= len(want) and set(kept) <= {(str(d), t or "") for d, t in want}
+    groups = brute_components([(i, t) for i, (_, t) in enumerate(rows)], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_LINK)
+    assert len(kept) == len({c if n else ("empty", i) for i, n, c in groups})
+    clean = settle(corpus_pipeline.benchmark_items(spark, near, sf))
+    assert clean.columns == docs.columns and not any(item in (r["text"] or "") for r in clean.collect())
+    private = settle(corpus_pipeline.personal_data(spark, clean, sf))
+    assert private.columns == docs.columns and private.count() == clean.count() and not any("a.b@example" in (r["text"] or "") for r in private.collect())
+    assert corpus_pipeline.packing(spark, private, sf).select("doc_id").distinct().count() > 0
+    assert corpus_pipeline.quality_rules(spark, docs, sf).columns == docs.columns
