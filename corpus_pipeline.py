@@ -1,9 +1,10 @@
 """A corpus pipeline: rules, near duplicates, benchmark items, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The
-rules keep or drop whole documents; of each group of near duplicates the document with
-the smallest doc_id stays; documents that hold a benchmark item go; personal data is
-replaced in the text, and n_chars follows; packing returns one row a piece.
+rules keep or drop whole rows; of each group of near duplicates one row stays, the first
+by doc_id and text; rows that hold a benchmark item go; personal data is replaced in the
+text, and n_chars follows; packing returns one row a piece. Every decision is about the
+row's own text, so rows that share a doc_id, or have none, don't go for each other.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard import keep_one
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import pseudonymise
-from lodestone.llm.queries import vocabulary
+from lodestone.llm.queries import secret_key, vocabulary
 from lodestone.llm.rules import keep_good
 
 #: Near duplicates share 80 of 100 shingles of five words.
@@ -36,7 +37,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    changed = pseudonymise(docs)
+    changed = pseudonymise(docs, secret_key(spark))
     return changed.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
