@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 from lodestone.llm.graph import components
 from lodestone.llm.wordhash import hashed
@@ -72,6 +73,7 @@ def _shingles(codes: np.ndarray, n: int) -> np.ndarray:
 
 def sets_of(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
     """The shingles of each text."""
+    memo.use("jaccard")
     codes, at = hashed(texts, ascii_only=True)
     for a, b in zip(at, at[1:]):
         yield _shingles(codes[a:b], n)
@@ -96,7 +98,9 @@ def regions(h: np.ndarray, link: int = LINK) -> tuple[np.ndarray, bool]:
     """Hashes of the regions that a set enters, and whether it has too few slices that count.
     Empty slices don't count, and in larger sets those of one shingle don't either: what is
     equal in two sets counts in both, so the first slices that count, one more than can
-    differ, hold one that two linked sets share."""
+    differ, hold one that two linked sets share. A larger set with too few enters all of
+    those, where it meets each set that has enough, and the first slices of any size, where
+    it meets its like."""
     n, out, odd = len(h), [], False
     if not n:
         return np.zeros(0, np.uint64), False
@@ -111,11 +115,13 @@ def regions(h: np.ndarray, link: int = LINK) -> tuple[np.ndarray, bool]:
         order = np.argsort(place, kind="stable")
         ends = np.cumsum(held)
         total = np.append(np.uint64(0), np.cumsum(_mix(h + _A)[order]))
-        full = np.flatnonzero(held >= (2 if BOUNDS[c] >= LARGE else 1))
-        odd |= len(full) < need
-        full = full[:need]
-        sums = total[ends[full]] - total[ends[full] - held[full]]
-        out.append(_mix(sums * _A + (np.uint64(c << 32) + full.astype(np.uint64)) * _B + held[full].astype(np.uint64)))
+        taken = np.flatnonzero(held >= (2 if BOUNDS[c] >= LARGE else 1))[:need]
+        if len(taken) < need:
+            some = np.flatnonzero(held)
+            odd |= len(some) < need
+            taken = np.union1d(taken, some[:need])
+        sums = total[ends[taken]] - total[ends[taken] - held[taken]]
+        out.append(_mix(sums * _A + (np.uint64(c << 32) + taken.astype(np.uint64)) * _B + held[taken].astype(np.uint64)))
     return np.concatenate(out), odd
 
 
@@ -232,7 +238,7 @@ class Join:
     def members(self) -> DataFrame:
         """(region, node, weight, pivot) of the regions with more than one node. weight: how often a node meets others; the heaviest is the pivot."""
         entered = self.all.select("node", F.explode("regions").alias("region"))
-        # Sets with too few slices, if there are any, are joined by single shingles instead.
+        # Sets with too few slices of any size, small ones if there are any, are joined by single shingles instead.
         most = self.all.filter("odd").agg(F.max("n").alias("n")).first()["n"]
         if most is not None:
             entered = entered.unionByName(self._singles(most * 100 // self.link))
@@ -360,12 +366,13 @@ def link_documents(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, link: int = LINK) -> DataFrame:
-    """docs with one row of each component: the first by doc_id (null last), then text; of equal rows any one. Rows have a
-    key of their own, so none goes for its doc_id. Rows without words stay."""
-    named = settle(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("key")))
-    classes = settle(link_documents(named.select(F.col("key").alias("doc_id"), "text"), n, link).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")))
+    """docs with one row of each component: the first by doc_id (null last), of one doc_id's rows the first by a hash of
+    the text, of equal rows any one. Rows have a key of their own, so none goes for its doc_id. Rows without words stay."""
+    named = settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")))
+    classes = settle(link_documents(named.select(F.col("key").alias("doc_id"), "row.text"), n, link).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")))
     many = settle(classes.groupBy("of").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("of"))
-    members = settle(named.select("key", "doc_id", "text").join(classes.join(many, "of"), "key"))
-    first = members.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "key")
+    members = settle(named.select("key", order.alias("place")).join(classes.join(many, "of"), "key").select("key", "place", "of"))
+    first = members.groupBy("of").agg(F.min("place").alias("first")).select(F.col("first.key").alias("key"))
     gone = settle(members.select("key").join(first, "key", "left_anti"))
-    return named.select("row", "key").join(gone, "key", "left_anti").select("row.*")
+    return named.join(gone, "key", "left_anti").select("row.*")

@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import memo
 from lodestone.llm.common import only, settle
 from lodestone.llm.wordhash import characters, mix, slices, word_hashes
 
@@ -61,6 +62,7 @@ COMPANY, CHUNK = 16, 1024
 
 def words_of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, hashes, kinds, where each text's words begin and one entry more) of runs of texts."""
+    memo.use("lm")
     for lo, hi in slices(texts):
         own = [(t or "").encode().lower() for t in texts[lo:hi]]
         codes, space, start = characters(b"\n".join(own) + b"\n" if own else b"")

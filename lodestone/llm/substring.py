@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import memo
 from lodestone.llm.common import only
 from lodestone.llm.wordhash import characters, mix, powers, slices, word_hashes
 
@@ -76,6 +77,7 @@ def _least(key: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def cut(texts: list[str | None], least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> Cut:
+    memo.use("substring")
     given = [t or "" for t in texts]
     joined = "\n".join(given)
     codes, space, start = characters(joined)
