@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.patterns import ANNOTATIONS
+
 
 class Embedder(Protocol):
     dimension: int
@@ -59,6 +61,17 @@ class OverlapScorer:
         return np.array(out, float)
 
 
+class RuleTagger:
+    """Spans that a pack of patterns finds, label by label, each with score 1: the tagger where no model is given."""
+
+    def __init__(self, pack: dict[str, list[str]] = ANNOTATIONS):
+        self.tests = [(label, re.compile(p, re.IGNORECASE)) for label, ps in pack.items() for p in ps]
+
+    def tag(self, texts: list[str]) -> list[list[dict]]:
+        found = [[(m, label) for label, p in self.tests for m in p.finditer(t)] for t in texts]
+        return [[{"text": m.group(), "label": label, "start": m.start(), "end": m.end(), "score": 1.0} for m, label in own] for own in found]
+
+
 def embed_column(embedder: Embedder, text: str, batch: int = 64) -> Column:
     """array<double> of each text, a bounded batch of texts at a time; the model is made ready once a worker."""
 
@@ -71,15 +84,15 @@ def embed_column(embedder: Embedder, text: str, batch: int = 64) -> Column:
     return run(F.col(text))
 
 
-def pair_column(scorer: PairScorer, question: str, text: str, batch: int = 8, most_chars: int = 1024) -> Column:
-    """Sigmoid of the scorer's logit; texts are cut for the model as it asks."""
+def pair_column(scorer: PairScorer, question: str, text: str, batch: int = 8) -> Column:
+    """Sigmoid of the scorer's logit. The scorer gets whole texts and cuts them itself where its model has a limit of tokens."""
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, t in parts:
             out: list[float] = []
             for k in range(0, len(q), batch):
-                raw = scorer.score(q.iloc[k : k + batch].fillna("").tolist(), t.iloc[k : k + batch].fillna("").str.slice(0, most_chars).tolist())
+                raw = scorer.score(q.iloc[k : k + batch].fillna("").tolist(), t.iloc[k : k + batch].fillna("").tolist())
                 out += [1 / (1 + math.exp(-x)) for x in raw.tolist()]
             yield pd.Series(out, index=q.index, dtype=float)
 

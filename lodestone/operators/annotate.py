@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import patterns as P
 from lodestone.functions.text import strip
-from lodestone.operators.entities import SPANS, is_bad
+from lodestone.functions.models import EntityTagger, tag_column
+from lodestone.operators.entities import SPANS, distinct_scored, distinct_spans, is_bad, select_records
 
 LEAST_LENGTH, MOST_RECORDS = 80, 1000
+#: Records that are sorted rather than counted by hash.
+BUCKET = 4096
 
 
 def find_spans(pack: dict[str, list[str]] = P.ANNOTATIONS):
@@ -56,6 +61,13 @@ def record_id(df: DataFrame) -> Column:
     return F.coalesce(*given)
 
 
+def predictions(records: DataFrame, tagger: EntityTagger, order: str = "chunk_id", source: str | None = None, text: str | None = None, limit: int | None = None) -> DataFrame:
+    """Selected records with the tagger's entities, without bad and repeated ones (E17, E20): the rows of schemas.PREDICTION."""
+    chosen = select_records(records, order, source, text, limit)
+    found = distinct_scored(F.filter(tag_column(tagger, "text"), lambda e: ~is_bad(e)))
+    return chosen.select(record_id(chosen).alias("id"), "source_file", "page_num", "chunk_id", "text", found.alias("predicted_entities"))
+
+
 def candidates(records: DataFrame, existing: DataFrame | None = None, pack: dict[str, list[str]] = P.ANNOTATIONS) -> DataFrame:
     """New records long enough and with entities, scored (A5-A8): id, source_file, page_num, chunk_id, text, entities, auto_score."""
     named = records.withColumn("id", record_id(records)).filter(F.col("id").isNotNull())
@@ -91,8 +103,6 @@ def counters(records: DataFrame, existing: DataFrame, pack: dict[str, list[str]]
 
 def finalize(records: DataFrame) -> DataFrame:
     """Records with bad and repeated spans removed and sorted, and how many bad ones there were."""
-    from lodestone.operators.entities import distinct_spans
-
     good = F.filter("entities", lambda e: ~is_bad(e, P.NOT_ANNOTATED))
     out = records.withColumn("_good", good).withColumn("removed", (F.size("entities") - F.size("_good")).cast("int"))
     return out.withColumn("entities", distinct_spans(F.col("_good"))).drop("_good", "auto_score")
@@ -107,15 +117,25 @@ def valid_spans(text: Column, ents: Column) -> Column:
 
 def split(records: DataFrame, key: str = "id", seed: int = 42, dev_share: float = 0.2) -> DataFrame:
     """records with split: dev for the max(1, floor(share * n)) rows that come first by a seeded hash, else train.
-    Only the hashes are compared: the size of dev is found by a count of records below each hash bucket."""
-    n = records.count()
+    The last row of dev is found by counts of hash buckets, at most 4,096 at a time, then among one bucket's rows; rows
+    of one id stay together."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    place = F.concat(F.md5(F.concat(name, F.lit(f":{seed}"))), F.lit(":"), name)
+    places = records.select(place.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    n = places.count()
     if n < 2:
         raise ValueError("a split needs two records at least")
-    dev = max(1, int(n * dev_share))
-    hashed = records.withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
-    limit = hashed.select("_h", F.col(key).cast("string").alias("_k")).orderBy("_h", "_k").limit(dev).agg(F.max(F.struct("_h", "_k")).alias("m")).first()["m"]
-    last = F.struct(F.lit(limit["_h"]).alias("_h"), F.lit(limit["_k"]).alias("_k"))
-    return hashed.withColumn("split", F.when(F.struct("_h", F.col(key).cast("string").alias("_k")) <= last, "dev").otherwise("train")).drop("_h")
+    begins, wanted, left = "", max(1, int(n * dev_share)), n
+    while left > BUCKET and len(begins) < 30:
+        own = places.filter(F.col("_h").startswith(begins)).groupBy(F.substring("_h", len(begins) + 1, 3).alias("b"))
+        for b, left in sorted((r["b"], r["count"]) for r in own.count().collect()):
+            if left >= wanted:
+                break
+            wanted -= left
+        begins += b
+    last = places.filter(F.col("_h").startswith(begins)).orderBy("_h").limit(min(wanted, BUCKET)).agg(F.max("_h")).first()[0]
+    places.unpersist()
+    return records.withColumn("split", F.when(place <= last, "dev").otherwise("train"))
 
 
 #: (text, start, end, id) of the tokens of a text, special ones with start = end.
@@ -128,27 +148,34 @@ def words_tokenizer(text: str) -> list[tuple[str, int, int, int]]:
     return [("[CLS]", 0, 0, 1), *found, ("[SEP]", 0, 0, 2)]
 
 
-def align(records: DataFrame, tokenizer: Tokenizer = words_tokenizer, most: int = 384, labels: list[str] = P.BIO_LABELS) -> DataFrame:
-    """One row a record with tokens, labels, input_ids and attention_mask (A18): the first token that overlaps a span is
-    B, the others I; later spans overwrite; tokens without width are -100."""
-
-    @F.pandas_udf("array<struct<token:string,start:int,end:int,id:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("token", "start", "end", "id"), x)) for x in tokenizer(t or "")[:most]])
-
-    number = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(i))])
-    df = records.withColumn("entities", valid_spans(F.col("text"), F.col("entities"))).withColumn("_t", run("text"))
-    touches = lambda t, e: (t["start"] < e["end"]) & (e["start"] < t["end"]) & (t["start"] < t["end"])
+def bio(tokens: list[tuple[str, int, int, int]], spans: list[tuple[int, int, str]], number: dict[str, int]) -> list[int]:
+    """A label a token: the first token that overlaps a span is B, the others I; later spans overwrite; -100 without width."""
+    out = [number["O"] if a < b else -100 for _, a, b, _ in tokens]
+    wide = [i for i, (_, a, b, _) in enumerate(tokens) if a < b]
+    ends = [tokens[i][2] for i in wide]
+    for start, end, label in spans:
+        at = first = bisect_right(ends, start)
+        while at < len(wide) and tokens[wide[at]][1] < end:
+            out[wide[at]] = number[("B-" if at == first else "I-") + label]
+            at += 1
+    return out
 
-    def label(t: Column, i: Column) -> Column:
-        # The last span that touches the token decides; tokens are in order, so it is the span's first one if the one before doesn't touch it.
-        own = F.filter(F.col("entities"), lambda e: touches(t, e))
-        last = F.get(own, F.size(own) - 1)
-        earlier = F.coalesce(touches(F.get(F.col("_t"), i - 1), last), F.lit(False))
-        named = F.element_at(number, F.concat(F.when(earlier, "I-").otherwise("B-"), last["label"]))
-        return F.when(t["start"] == t["end"], -100).when(F.size(own) == 0, F.element_at(number, F.lit("O"))).otherwise(named)
 
-    return df.select("id", "source_file", "page_num", "chunk_id", "text", F.col("_t.token").alias("tokens"), F.transform("_t", label).alias("labels"), F.col("_t.id").alias("input_ids"), F.transform("_t", lambda t: F.lit(1)).alias("attention_mask"))
+def align(records: DataFrame, tokenizer: Tokenizer = words_tokenizer, most: int = 384, labels: list[str] = P.BIO_LABELS) -> DataFrame:
+    """One row a record with tokens, labels, input_ids and attention_mask (A18), by one pass over a text's tokens and spans."""
+    number = {name: i for i, name in enumerate(labels)}
+
+    @F.pandas_udf("struct<tokens:array<string>,labels:array<int>,input_ids:array<int>>")
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out: list[tuple[list, list, list]] = []
+        for text, *spans in zip(texts, starts, ends, names):
+            found = tokenizer(text or "")[:most]
+            out.append(([x[0] for x in found], bio(found, list(zip(*[[] if s is None else s for s in spans])), number), [x[3] for x in found]))
+        return pd.DataFrame(out, columns=["tokens", "labels", "input_ids"])
+
+    spans = records.withColumn("_e", valid_spans(F.col("text"), F.col("entities")))
+    df = spans.withColumn("_a", run("text", F.col("_e.start"), F.col("_e.end"), F.col("_e.label")))
+    return df.select("id", "source_file", "page_num", "chunk_id", "text", "_a.tokens", "_a.labels", "_a.input_ids", F.transform("_a.tokens", lambda t: F.lit(1)).alias("attention_mask"))
 
 
 def label_vocabulary(spark, labels: list[str] = P.BIO_LABELS) -> DataFrame:

@@ -11,6 +11,36 @@ from pyspark.sql import functions as F
 
 #: Questions that go to the workers together: at most so many, whatever the table.
 BLOCK = 4096
+#: Questions and vectors of one matrix product, so a tile of scores has 8 MB.
+ASKED, ROWS = 512, 2048
+
+
+class Best:
+    """The k best (score, id) that a task has met of each question."""
+
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.held = [(np.zeros((min(ASKED, questions - q), 0)), np.zeros((min(ASKED, questions - q), 0), np.int64)) for q in range(0, questions, ASKED)]
+
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: of questions from q on, by vector. What is below the k-th score goes before the rest is put in order."""
+        own, known = self.held[q // ASKED]
+        score, ids = np.hstack([own, score]), np.hstack([known, np.broadcast_to(ids, score.shape)])
+        rounded = np.round(score, 9)
+        k = min(self.k, score.shape[1])
+        least = np.partition(rounded, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        row, col = np.nonzero(rounded >= least[:, None])
+        order = np.lexsort((ids[row, col], -rounded[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(len(score)))
+        at = (first[:, None] + np.arange(k)).ravel()
+        row, col = row[at].reshape(-1, k), col[at].reshape(-1, k)
+        self.held[q // ASKED] = score[row, col], ids[row, col]
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, (score, ids) in enumerate(self.held):
+            if score.size:
+                yield np.repeat(np.arange(len(score)), score.shape[1]) + i * ASKED, ids.ravel(), score.ravel()
 
 
 def topk(vectors: DataFrame, questions: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -27,17 +57,16 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, block: int = BLOCK) -
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, asked = own.value
+            best = Best(len(names), k)
             for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                score = asked @ flat.T
-                rounded = np.round(score, 9)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -rounded), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(names)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in rows]).cast(pa.string() if kind == "string" else pa.int64()), pa.array(ids[order.ravel()], pa.int64()), pa.array(score[rows, order.ravel()])], ["question_id", "corpus_idx", "dense_score"])
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    for q in range(0, len(names), ASKED):
+                        best.add(q, asked[q : q + ASKED] @ flat.T, ids)
+            for q, ids, score in best.rows():
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string() if kind == "string" else pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["question_id", "corpus_idx", "dense_score"])
 
         parts.append(vectors.select(F.col("corpus_idx").cast("long"), "embedding").filter("embedding is not null").mapInArrow(run, schema))
 

@@ -97,6 +97,16 @@ def distinct_spans(ents: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(keyed)), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end")))
 
 
+def distinct_scored(ents: Column) -> Column:
+    """Spans with scores as distinct_spans has them; of equal ones the first keeps its score."""
+    key = ("start", "end", "label", "text")
+    keyed = F.array_sort(F.transform(ents, lambda e, i: F.struct(*[e[k].alias(k) for k in key], i.alias("i"), e["score"].alias("score"))))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key])
+    # Bound through a one-element array, so the spans are sorted once.
+    first = F.transform(F.array(keyed), lambda k: F.filter(k, lambda e, i: (i == 0) | ~same(e, F.get(k, i - 1))))[0]
+    return F.transform(first, lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
+
+
 def select_records(records: DataFrame, order: str, source: str | None = None, text: str | None = None, limit: int | None = None) -> DataFrame:
     """Records whose file and text hold the given parts, whatever the case, in order."""
     for name, part in (("source_file", source), ("text", text)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ def _or(c: str, default: str | Column) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(default) if isinstance(default, str) else default)
 
 
+# The template of a context's sources.
 def contexts(hits: DataFrame, group: str = "question_id") -> DataFrame:
     """hits: group, rank, source_file, page_num, chunk_id, text -> group, context, sources (L1, L2). A group has at most k hits."""
     block = F.concat(
@@ -32,3 +34,13 @@ def contexts(hits: DataFrame, group: str = "question_id") -> DataFrame:
 def ask(chat: ChatClient, question: str, context: str) -> str:
     """A grounded answer (L3)."""
     return chat(SYSTEM, USER.format(context=context, question=question), TEMPERATURE, MOST_TOKENS)
+
+
+def answer_column(chat: ChatClient, question: str = "question", context: str = "context") -> Column:
+    """The answers to a table of questions with their contexts (L3); an empty question has none."""
+
+    @F.pandas_udf("string")
+    def run(questions: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([ask(chat, q.strip(), c or "") if q and q.strip() else None for q, c in zip(questions, contexts)], index=questions.index, dtype=object)
+
+    return run(F.col(question), F.col(context))

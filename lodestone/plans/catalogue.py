@@ -1,7 +1,7 @@
 """The engine's operators as queries over the test tables, whole.
 
 Documents are chunks (doc_id is chunk and corpus order), benchmark passages are
-questions whose relevant chunks hold their first 60 characters, embeddings are the
+questions whose relevant chunks hold them, embeddings are the
 dense index; every vector whose id is divisible by 100 is a dense question, relevant
 are the vectors of its label.
 """
@@ -77,8 +77,8 @@ def _named(df):
 
 
 def _fused(spark, d, most):
-    asked = dense_questions(spark, d).select("question_id").join(questions(spark, d), "question_id")
-    return fusion.rrf(_named(dense.topk(vectors(spark, d), dense_questions(spark, d), 100)), _named(_bm25(spark, d, asked, 100)), 60, most)
+    """A question may have a dense side, a lexical one, or both."""
+    return fusion.rrf(_named(dense.topk(vectors(spark, d), dense_questions(spark, d), most)), _named(_bm25(spark, d, None, most)), 60, most)
 
 
 def rrf_hybrid(spark, d):
@@ -147,11 +147,25 @@ def hybrid_entity_rerank(spark, d):
     return entities.rerank(_marked(spark, d, _fused(spark, d, 100)), K, 0.05, "hybrid_score").select("question_id", "chunk_id", F.round("ner_score", 6).alias("ner_score"), F.round("ner_score_total", 9).alias("score"), F.col("final_rank").alias("rank"))
 
 
+def _holders(asked, docs):
+    """question_id, doc_id of the documents that hold a question's whole text. They hold its second to fifth words as
+    whole words, so pairs meet by these; questions of fewer words are looked up in every text."""
+    words = lambda c: F.split(F.trim(c), r"[ \n\t]+")
+    four = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(4)])
+    long_ = F.size(words("question")) > 5
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - 4)), lambda i: four(F.col("_w"), i))
+    held = docs.withColumn("_w", words("text")).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("_key"))
+    keyed = asked.filter(long_).select("question_id", "question", four(words("question"), F.lit(1)).alias("_key"))
+    # Only the numbers of what meets are carried; the texts come back for the test itself.
+    met = held.select("doc_id", "_key").join(keyed.select("question_id", "_key"), "_key").select("doc_id", "question_id")
+    near = met.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("question_id", "question"), "question_id")
+    brief = asked.filter(~long_ & (F.trim("question") != "")).select("question_id", "question").join(docs.select("doc_id", "text"), F.col("text").contains(F.col("question")))
+    return near.filter(F.col("text").contains(F.col("question"))).select("question_id", "doc_id").unionByName(brief.select("question_id", "doc_id"))
+
+
 def _lexical_metrics(spark, d):
     asked = questions(spark, d)
-    first = asked.select("question_id", F.substring("question", 1, 60).alias("p"))
-    # A stated set of passages against all documents.
-    qrels = first.join(_t(spark, d, "documents"), F.col("text").contains(F.col("p"))).groupBy("question_id").agg(F.collect_list(F.col("doc_id")).alias("relevant_chunk_ids"))
+    qrels = _holders(asked, _t(spark, d, "documents")).groupBy("question_id").agg(F.collect_list(F.col("doc_id")).alias("relevant_chunk_ids"))
     run = _bm25(spark, d).select("question_id", F.col("corpus_idx").alias("chunk_id"), F.col("bm25_rank").alias("rank"))
     return metrics.per_question(run, asked, qrels, K_VALUES, K, K)
 

@@ -40,7 +40,6 @@ bm as (select question_id, doc_id, s, row_number() over (partition by question_i
 
 
 _ASKED = "select item_id as question_id, text as question from benchmark"
-_ASKED_BOTH = "select item_id as question_id, text as question from benchmark where item_id in (select vec_id // 100 from embeddings where vec_id % 100 = 0)"
 
 
 def _knn(k: int) -> str:
@@ -109,7 +108,7 @@ left join (select u.question_id, u.rank from {run} u join {rel} v using (questio
 {name} as (select question_id, metric, value from (select question_id, {', '.join(f'cast("{n}" as double) as "{n}"' for n in _NAMES)} from {name}_w) unpivot (value for metric in ({cols})))"""
 
 
-_REL = "rel as (select item_id as question_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, substr(b.text, 1, 60)))"
+_REL = "rel as (select item_id as question_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text))"
 _LEX = f"with {_bm25(_ASKED, 10)}, {_REL}, run as (select question_id, doc_id as chunk_id, rank from bm), {_metrics('run', 'rel', 'asked')}"
 _NREL = "nrel as (select q.vec_id // 100 as question_id, v.vec_id as chunk_id from embeddings q join embeddings v using (label) where q.vec_id % 100 = 0), nask as (select vec_id // 100 as question_id from embeddings where vec_id % 100 = 0)"
 _TWO = f"""with {_knn(50)}, {_E}, cand as (select question_id, vec_id as chunk_id, rank as cr from nn), {_reranked('cand', '1 / s.cr', 0.5, 's.cr').replace('s.cr', 'cr')}, {_NREL},
@@ -130,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_index_stats": f"with {_INDEX.strip()} select term, df, round(idf, 6) as idf from terms",
         "bm25_topk": f"with {_bm25(_ASKED, 10).strip()} select question_id, doc_id, round(s, 6) as score, rank from bm",
         "knn_topk": f"with {_knn(10)} select question_id, vec_id, round(s, 6) as score, rank from nn",
-        "rrf_hybrid": f"with {_bm25(_ASKED_BOTH, 100).strip()}, {_knn(100)}, {_fused(100)} select question_id, chunk_id, coalesce(dense_rank, 0) as dense_rank, coalesce(bm25_rank, 0) as bm25_rank, round(h, 9) as hybrid_score, rank from fused",
+        "rrf_hybrid": f"with {_bm25(_ASKED, 100).strip()}, {_knn(100)}, {_fused(100)} select question_id, chunk_id, coalesce(dense_rank, 0) as dense_rank, coalesce(bm25_rank, 0) as bm25_rank, round(h, 9) as hybrid_score, rank from fused",
         "hybrid_single_side": f"with {_knn(100)}, {_fused(10, False)} select question_id, chunk_id, round(h, 9) as hybrid_score, rank from fused",
         "entity_extract": f"with {_E} select doc_id, array_to_string(e, '|') as entities from ents where len(e) > 0",
         "entity_normalize": f"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'ё' || {_NB}, 'е '), '([0-9])\\s*\\.\\s*([0-9])', '\\1.\\2', 'g'), '([0-9])\\s*\\.\\s*([0-9])', '\\1.\\2', 'g'), '\\s*[-–—]\\s*', '-', 'g'), '\\s+', ' ', 'g')) as normal from documents",
@@ -138,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "entity_index": f"with {_INDEXED} select doc_id, source as source_file, 1 as page_num, array_to_string(list_transform(e, lambda x: x[1]), '|') as labels, array_to_string(list_transform(e, lambda x: x[2]), '|') as texts from idxs",
         "entity_overlap_score": f"with {_E} select a.doc_id, array_to_string(list_sort(list_intersect(a.e, b.e)), '|') as overlap, round({_overlap('a.e', 'b.e')}, 6) as score from ents a join ents b on b.doc_id = a.doc_id + 1",
         "knn_entity_rerank": f"with {_knn(50)}, {_E}, cand as (select question_id, vec_id as chunk_id, rank as cr from nn), {_reranked('cand', '1 / cr', 0.5, 'cr')} select question_id, chunk_id, round(ns, 6) as ner_score, round(score, 6) as score, rank from rr",
-        "hybrid_entity_rerank": f"with {_bm25(_ASKED_BOTH, 100).strip()}, {_knn(100)}, {_fused(100)}, {_E}, cand as (select question_id, chunk_id, h, rank as cr from fused), {_reranked('cand', 'h', 0.05, 'cr')} select question_id, chunk_id, round(ns, 6) as ner_score, round(score, 9) as score, rank from rr",
+        "hybrid_entity_rerank": f"with {_bm25(_ASKED, 100).strip()}, {_knn(100)}, {_fused(100)}, {_E}, cand as (select question_id, chunk_id, h, rank as cr from fused), {_reranked('cand', 'h', 0.05, 'cr')} select question_id, chunk_id, round(ns, 6) as ner_score, round(score, 9) as score, rank from rr",
         "metrics_per_question": f"{_LEX} select question_id, metric, round(value, 6) as value from m",
         "metrics_mean": f"{_LEX} select metric, round(avg(value), 6) as value from m group by metric",
         "metrics_delta": f"{_TWO} select metric, round(coalesce(g2.value, 0) - coalesce(g1.value, 0), 6) as value from g1 full join g2 using (metric)",
@@ -168,7 +167,7 @@ chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as co
         "source_list": f"select conv_id, string_agg(role || ',' || turn || ',' || chunk_id, '|' order by turn) as sources from ({_TURN}) group by conv_id",
         "hit_preview": "select doc_id, replace(substr(text, 1, 500), chr(10), ' ') as preview from documents",
         "select_records": "select doc_id::varchar as chunk_id, source as source_file from documents where contains(lower(source), 'src1') and contains(lower(text), 'licensed')",
-        "pair_rerank": f"""with {_bm25(_ASKED, 10).strip()}, w as (select question_id, doc_id, rank as cr, {words('b.text')} as q, {words('substr(d.text, 1, 1024)')} as t from bm join benchmark b on b.item_id = question_id join documents d using (doc_id)),
+        "pair_rerank": f"""with {_bm25(_ASKED, 10).strip()}, w as (select question_id, doc_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from bm join benchmark b on b.item_id = question_id join documents d using (doc_id)),
 l as (select question_id, doc_id, cr, 1 / (1 + exp(-(len(list_intersect(q, t)) - 0.5 * (len(q) - len(list_intersect(q, t)))))) as s from w)
 select question_id, doc_id, round(s, 6) as score, row_number() over (partition by question_id order by round(s, 9) desc, cr) as rank from l qualify rank <= 5""",
     }
