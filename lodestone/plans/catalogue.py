@@ -17,6 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column
 from lodestone.functions.patterns import GENERAL
 from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, lexical, metrics
+from lodestone.plans import cases
 from lodestone.session import ready
 from lodestone.sources.pages import html_column
 
@@ -347,4 +348,4 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: f for f in NAMES} | cases.queries()

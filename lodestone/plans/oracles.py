@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions.patterns import BIO_LABELS
+from lodestone.plans import cases
 
 _SPACE = r"[ \t]+"
 _STRIP = r"^[\s\x0b]+|[\s\x0b]+$"
@@ -176,4 +177,4 @@ select question_id, doc_id, round(s, 6) as score, row_number() over (partition b
     for s in ("greatest(0, e - 200)", "0"):
         back = f"strpos(reverse({part(s)}), ' ')"
         out["chunk_text"] = out["chunk_text"].replace(f"cut(text, {s})", f"cast(case when {s} + 1200 >= length(text) then length(text) when {back} > 0 and 1200 - {back} > 600 then {s} + 1200 - {back} else {s} + 1200 end as int)")
-    return out
+    return out | cases.oracle_sql()
