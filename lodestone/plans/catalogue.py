@@ -17,7 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column
 from lodestone.functions.patterns import GENERAL
 from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, lexical, metrics
-from lodestone.plans import cases
+from lodestone.plans import cases, files
 from lodestone.session import ready
 from lodestone.sources.pages import html_column
 
@@ -333,6 +333,24 @@ def pair_rerank(spark, d):
     return fusion.pair_rerank(hits, OverlapScorer(), 5).select("question_id", F.col("corpus_idx").alias("doc_id"), F.round("reranker_score", 6).alias("score"), F.col("final_rank").alias("rank"))
 
 
+def pair_hybrid(spark, d):
+    """Fused candidates by the pair model (J6); questions and chunks without a text have no pair."""
+    texts = chunks(spark, d).select(F.col("corpus_idx").alias("chunk_id"), "text")
+    hits = _fused(spark, d, 20).join(questions(spark, d), "question_id").join(texts, "chunk_id")
+    return fusion.pair_rerank(hits, OverlapScorer(), 6).select("question_id", "chunk_id", F.round("reranker_score", 6).alias("score"), F.col("final_rank").alias("rank"))
+
+
+def _said(system: str, user: str, temperature: float, most: int) -> str:
+    """A stand-in chat model that tells what it was given."""
+    return f"T={temperature} N={most} {len(system)} {len(user)}"
+
+
+def answers(spark, d):
+    """A batch of questions answered from their contexts (L3)."""
+    asked = generate.contexts(_turns(spark, d), "conv_id").withColumn("question", F.concat(F.lit("Question "), F.col("conv_id")))
+    return asked.select("conv_id", generate.answer_column(_said).alias("answer"))
+
+
 def embed_hash(spark, d):
     e = questions(spark, d).select("question_id", embed_column(HashEmbedder(), "question").alias("v"))
     return e.select("question_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
@@ -343,9 +361,9 @@ NAMES = (
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
     annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, format_context, source_list, hit_preview, select_records,
-    html_extract, pair_rerank, embed_hash,
+    html_extract, pair_rerank, pair_hybrid, answers, embed_hash,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES} | cases.queries()
+    return {f.__name__: f for f in NAMES} | cases.queries() | files.queries()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions.patterns import BIO_LABELS
+from lodestone.operators.generate import SYSTEM, USER
 from lodestone.plans import cases
 
 _SPACE = r"[ \t]+"
@@ -122,6 +123,25 @@ _SCORED = f"{_COUNTS}, sc as (select doc_id, source, nd + nr as n, nn, 2 * (nd +
 _TURN = "select conv_id, turn, role, text, conv_id || '_' || turn as chunk_id from conversations"
 
 
+
+
+def _pieces(p: str) -> str:
+    """The matches of a pattern in text as a list of {t, a, b}: what stands between matches gives their places."""
+    m, gaps = _all(p), f"list_transform(string_split_regex(text, '{p}'), lambda x: length(x))"
+    before = f"(list_sum({gaps}[:i]) + coalesce(list_sum(list_transform({m}[:i - 1], lambda x: length(x))), 0))::int"
+    return f"list_transform({m}, lambda x, i: {{'t': x, 'a': {before}, 'b': {before} + length(x)::int}})"
+
+
+_PLACED = "placed as (select doc_id, label, p.t as text, p.a as start, p.b as \"end\" from (" + " union all ".join(
+    f"select doc_id, '{label}' as label, unnest({_pieces(p)}) as p from documents" for label, p in (("NORM_REF", "(?i)" + _EMAIL), ("NORM_REF", _IP), ("NORM_REF", _NUM), ("NORM_DOC", "(?i)" + _LIC), ("NORM_DOC", "(?i)" + _VER))
+) + "))"
+
+#: Lines with bars as a titled table after the others.
+_BLOCKS = f"""rows_ as (select doc_id, string_split(text, chr(10)) as ls from documents),
+parted as (select doc_id, list_filter(list_transform(list_filter(ls, lambda x: not contains(x, ' | ')), lambda x: {_clean('x')}), lambda x: x <> '') as prose, list_filter(ls, lambda x: contains(x, ' | ')) as rows from rows_),
+blocks as (select doc_id, list_concat(list_transform(prose, lambda x: {{'type': 'text', 'text': x}}), case when len(rows) > 0 then [{{'type': 'table', 'text': 'TABLE 1' || chr(10) || chr(10) || {_clean("'[TABLE_START]' || chr(10) || replace(array_to_string(rows, chr(10)), ' | ', chr(10)) || chr(10) || '[TABLE_END]'")}}}] else [] end) as b from parted)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[^\\s]+'))"
     out = {
@@ -171,10 +191,49 @@ chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as co
         "pair_rerank": f"""with {_bm25(_ASKED, 10).strip()}, w as (select question_id, doc_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from bm join benchmark b on b.item_id = question_id join documents d using (doc_id)),
 l as (select question_id, doc_id, cr, 1 / (1 + exp(-(len(list_intersect(q, t)) - 0.5 * (len(q) - len(list_intersect(q, t)))))) as s from w)
 select question_id, doc_id, round(s, 6) as score, row_number() over (partition by question_id order by round(s, 9) desc, cr) as rank from l qualify rank <= 5""",
+        "train_dev_split": f"with {_SCORED}, r as (select doc_id, row_number() over (order by md5(doc_id || ':42') || ':' || doc_id) as rn, count(*) over () as n from sc) select doc_id::varchar as id, case when rn <= greatest(1, floor(n * 0.2)) then 'dev' else 'train' end as split from r",
+        "semantic_blocks": f"""with {_BLOCKS} select doc_id, unnest(range(len(b)::int))::int as i, unnest(b).type as type, unnest(b).text as text from blocks""",
+        "chunk_ids": f"""with recursive t as (select conv_id, turn, {_clean('text')} as text from conversations),
+w as (select conv_id, turn, text, 0 as i, 0 as s, cut(text, 0) as e from t where text <> ''
+union all select conv_id, turn, text, i + 1, greatest(0, e - 200), cut(text, greatest(0, e - 200)) from w where e < length(text)),
+x as (select *, regexp_replace(substr(text, s + 1, e - s), '{_STRIP}', '', 'g') as x from w),
+n as (select *, row_number() over (partition by conv_id, turn order by i)::int as c from x where x <> '')
+select conv_id || '_p' || turn || '_c' || c as chunk_id, conv_id || '.txt' as source_file, conv_id::varchar as source_stem, turn::int as page_num, c as chunk_index_on_page, s as char_start, e as char_end, 'text' as chunk_type, x as text from n""",
+        "annotate_spans": f"with {_PLACED} select doc_id, label, text, start, \"end\" from placed",
+        "bio_align": f"""with {_PLACED}, {_SCORED},
+own as (select * from placed where doc_id in (select doc_id from sc)),
+word as (select doc_id, {_pieces("[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]")} as p from documents where doc_id in (select doc_id from sc)),
+tok as (select doc_id, unnest(p).a as a, unnest(p).b as b, unnest(range(len(p))) as i from word),
+met as (select t.doc_id, t.i, o.label, o.start, row_number() over (partition by t.doc_id, o.start, o.label order by t.i) as nth from tok t join own o on t.doc_id = o.doc_id and t.a < o.end and o.start < t.b),
+named as (select doc_id, i, arg_max(case when nth = 1 then 'B-' else 'I-' end || label, start) as name from met group by doc_id, i),
+ids as (select * from (values {", ".join(f"({i}, '{n}')" for i, n in enumerate(BIO_LABELS))}) v(label, name))
+select doc_id, (i + 1)::int as i, coalesce(ids.label, 0)::int as label from tok left join named using (doc_id, i) left join ids using (name)
+union all select doc_id, 0, -100 from word union all select doc_id, len(p)::int + 1, -100 from word""",
+        "pair_hybrid": f"""with {_bm25(_ASKED, 20).strip()}, {_knn(20)}, {_fused(20)}, w as (select question_id, chunk_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from fused join benchmark b on b.item_id = question_id join documents d on d.doc_id = chunk_id),
+l as (select question_id, chunk_id, cr, 1 / (1 + exp(-(len(list_intersect(q, t)) - 0.5 * (len(q) - len(list_intersect(q, t)))))) as s from w)
+select question_id, chunk_id, round(s, 6) as score, row_number() over (partition by question_id order by round(s, 9) desc, cr) as rank from l qualify rank <= 6""",
+        "answers": f"""with c as (select conv_id, string_agg('[SOURCE ' || turn || ']' || chr(10) || 'file: ' || role || chr(10) || 'page: ' || turn || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'text:' || chr(10) || text, chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as context from ({_TURN}) group by conv_id)
+select conv_id, 'T=0.1 N=600 ' || {len(SYSTEM)} || ' ' || ({len(USER)} - length('{{context}}{{question}}') + length(context) + 2 + length('Question ' || conv_id)) as answer from c""",
+        "jsonl_round_trip": "select doc_id, md5(coalesce(text, '')) as text_md5, lang, source, n_chars from documents",
+        "jsonl_traced": "select doc_id, quality, toxic, true as named, true as raw from labels",
+        "json_arrays": "select item_id, text from benchmark",
+        "pretty_summary": "select count(*) as documents, count(distinct source) as sources from documents",
+        "text_folders": "select md5(x) as text_md5, length(x) as n_chars from (select string_agg(coalesce(text, ''), chr(10) order by turn) || chr(10) as x from conversations group by conv_id)",
+        "text_table": "select doc_id || '.txt' as source_file, 'in/' || doc_id || '.DOCX' as path, length(text) as n_chars from documents where doc_id % 7 <> 0 and length(text) > 0",
+        "discovered_files": "select unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' as name",
+        "docx_extract": f"""with c as (select conv_id::varchar as id, string_agg(t, chr(10) || chr(10) order by turn) filter (where t <> '') as body, string_agg('|' || turn || '|' || role || '|', chr(10) order by turn) as rows, string_agg(role, chr(10) || chr(10) order by turn) as roles
+from (select *, {_clean('text')} as t from conversations) group by conv_id)
+select id || '.docx' as path, case when id not like '%7' then concat_ws(chr(10) || chr(10), body, '[TABLE_START]', '|turn|role|' || chr(10) || '|---|---|' || chr(10) || rows, '[TABLE_END]', 'role' || chr(10) || chr(10) || roles) end as text,
+case when id like '%7' then 'BadZipFile' end as error from c""",
+        "layout_pages": f"""with b as (select conv_id, 10 * turn as y, {_clean('text')} as t from conversations where not (10 * turn < 29 and 19 < 10 * turn + 8) union all select distinct conv_id, 19, concat_ws(chr(10) || chr(10), '[TABLE_START]', '|a|b|', '[TABLE_END]') from conversations)
+select conv_id::varchar as source_file, '--- PAGE 1 ---' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by y) as full_text from b where t <> '' group by conv_id""",
+        "appended_rows": "select doc_id, quality from labels",
     }
+    out |= {"metrics_csv": out["metrics_wide"], "index_round_trip": out["bm25_topk"], "vectors_round_trip": out["knn_topk"], "split_files": out["train_dev_split"]}
     # The window's end as plain SQL: the last space in its second half, unless the text ends first.
     part = lambda s: f"substr(text, {s} + 1, 1200)"
     for s in ("greatest(0, e - 200)", "0"):
         back = f"strpos(reverse({part(s)}), ' ')"
-        out["chunk_text"] = out["chunk_text"].replace(f"cut(text, {s})", f"cast(case when {s} + 1200 >= length(text) then length(text) when {back} > 0 and 1200 - {back} > 600 then {s} + 1200 - {back} else {s} + 1200 end as int)")
+        end = f"cast(case when {s} + 1200 >= length(text) then length(text) when {back} > 0 and 1200 - {back} > 600 then {s} + 1200 - {back} else {s} + 1200 end as int)"
+        out |= {name: out[name].replace(f"cut(text, {s})", end) for name in ("chunk_text", "chunk_ids")}
     return out | cases.oracle_sql()

@@ -58,7 +58,7 @@ def write_metrics_csv(wide: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files of one folder, whole (S8): source_file, full_text."""
-    found = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    found = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return found.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("full_text"))
 
 

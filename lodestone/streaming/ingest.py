@@ -11,7 +11,7 @@ from lodestone.sources.io import append_new
 
 
 def chunk_stream(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
-    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.readStream.schema("value string").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     named = files.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("full_text"))
 
     def add(batch: DataFrame, _: int) -> None:
