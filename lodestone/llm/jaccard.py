@@ -320,13 +320,13 @@ class Join:
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return settle(x.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("both")).select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
 
-    def links(self) -> DataFrame:
-        """(a, b): links between nodes that leave no linked nodes in different components."""
+    def rooted(self) -> DataFrame:
+        """(node, doc_id, root) of every node; linked nodes have one root. The pivots' links give the first components;
+        the links found later only join those, so they are followed between their roots."""
         members = self.members()
         linked = F.col("common") * 100 >= F.col("either") * self.link
         near = self.measured(members.filter("node <> pivot").selectExpr("pivot as a", "node as b"))
-        links = near.filter(linked).select("a", "b")
-        roots = components(links)
+        roots = components(near.filter(linked).select("a", "b"))
         # The Voronoi region of a pivot: the members of all regions it is the pivot of, with their distance to it where
         # it was measured, and their component.
         distance = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
@@ -346,12 +346,15 @@ class Join:
         asking = block.filter("strange").select(*shown, F.lit(True).alias("asks"), spread("blocks").alias("i"), own("strangers").alias("j"))
         pairs = every.unionByName(asking).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
         more = self.measured(pairs, near.select("a", "b"))
-        return settle(links.unionByName(more.filter(linked).select("a", "b")))
+        first = settle(self.nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+        root_of = first.select("node", "root")
+        joined = more.filter(linked).select("a", "b").join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b")
+        over = components(joined.selectExpr("ra as a", "rb as b"))
+        return settle(first.join(over.toDF("root", "last"), "root", "left").select("node", "doc_id", F.coalesce("last", "root").alias("root")))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row. Sets get their component first, so copies are met once, at the end."""
-        roots = components(self.links())
-        rooted = settle(self.nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+        rooted = self.rooted()
         low = settle(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
         of = settle(rooted.join(low, "root").select("node", "component_id"))
         rows = self.all.select("doc_id", F.col("n").alias("n_shingles"), "node")
