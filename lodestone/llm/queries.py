@@ -86,6 +86,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.simhash import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.alignment import align
 
@@ -93,7 +99,7 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op6_benchmark_decontamination, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules, op10_jaccard_join, op12_cross_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_token_id_grammar, op6_benchmark_decontamination, op7_lm_scores, op8_pii_pseudonyms, op9_quality_rules, op10_jaccard_join, op11_simhash_near_duplicates, op12_cross_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
