@@ -136,6 +136,21 @@ _PLACED = "placed as (select doc_id, label, p.t as text, p.a as start, p.b as \"
     f"select doc_id, '{label}' as label, unnest({_pieces(p)}) as p from documents" for label, p in (("NORM_REF", "(?i)" + _EMAIL), ("NORM_REF", _IP), ("NORM_REF", _NUM), ("NORM_DOC", "(?i)" + _LIC), ("NORM_DOC", "(?i)" + _VER))
 ) + "))"
 
+
+def aligned(kept: str) -> str:
+    """CTE aligned(doc_id, i, token, label) over placed and sc: words, single marks and the two tokens without width, with the labels of the kept spans."""
+    return f"""own as (select * from placed where doc_id in (select doc_id from sc) and {kept}),
+word as (select doc_id, {_pieces("[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]")} as p from documents where doc_id in (select doc_id from sc)),
+tok as (select doc_id, unnest(p).t as t, unnest(p).a as a, unnest(p).b as b, unnest(range(len(p))) as i from word),
+met as (select t.doc_id, t.i, o.label, o.start, row_number() over (partition by t.doc_id, o.start, o.label order by t.i) as nth from tok t join own o on t.doc_id = o.doc_id and t.a < o.end and o.start < t.b),
+named as (select doc_id, i, arg_max(case when nth = 1 then 'B-' else 'I-' end || label, start) as name from met group by doc_id, i),
+ids as (select * from (values {", ".join(f"({i}, '{n}')" for i, n in enumerate(BIO_LABELS))}) v(label, name)),
+aligned as (select doc_id, (i + 1)::int as i, t as token, coalesce(ids.label, 0)::int as label from tok left join named using (doc_id, i) left join ids using (name)
+union all select doc_id, 0, '[CLS]', -100 from word union all select doc_id, len(p)::int + 1, '[SEP]', -100 from word)"""
+
+
+_SPLIT = "split as (select doc_id::varchar as id, case when rn <= greatest(1, floor(n * 0.2)) then 'dev' else 'train' end as split from (select doc_id, row_number() over (order by md5(doc_id || ':42') || ':' || doc_id) as rn, count(*) over () as n from sc))"
+
 #: Lines with bars as a titled table after the others.
 _BLOCKS = f"""rows_ as (select doc_id, string_split(text, chr(10)) as ls from documents),
 parted as (select doc_id, list_filter(list_transform(list_filter(ls, lambda x: not contains(x, ' | ')), lambda x: {_clean('x')}), lambda x: x <> '') as prose, list_filter(ls, lambda x: contains(x, ' | ')) as rows from rows_),
@@ -191,7 +206,7 @@ chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as co
         "pair_rerank": f"""with {_bm25(_ASKED, 10).strip()}, w as (select question_id, doc_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from bm join benchmark b on b.item_id = question_id join documents d using (doc_id)),
 l as (select question_id, doc_id, cr, 1 / (1 + exp(-(len(list_intersect(q, t)) - 0.5 * (len(q) - len(list_intersect(q, t)))))) as s from w)
 select question_id, doc_id, round(s, 6) as score, row_number() over (partition by question_id order by round(s, 9) desc, cr) as rank from l qualify rank <= 5""",
-        "train_dev_split": f"with {_SCORED}, r as (select doc_id, row_number() over (order by md5(doc_id || ':42') || ':' || doc_id) as rn, count(*) over () as n from sc) select doc_id::varchar as id, case when rn <= greatest(1, floor(n * 0.2)) then 'dev' else 'train' end as split from r",
+        "train_dev_split": f"with {_SCORED}, {_SPLIT} select id, split from split",
         "semantic_blocks": f"""with {_BLOCKS} select doc_id, unnest(range(len(b)::int))::int as i, unnest(b).type as type, unnest(b).text as text from blocks""",
         "chunk_ids": f"""with recursive t as (select conv_id, turn, {_clean('text')} as text from conversations),
 w as (select conv_id, turn, text, 0 as i, 0 as s, cut(text, 0) as e from t where text <> ''
@@ -200,15 +215,7 @@ x as (select *, regexp_replace(substr(text, s + 1, e - s), '{_STRIP}', '', 'g')
 n as (select *, row_number() over (partition by conv_id, turn order by i)::int as c from x where x <> '')
 select conv_id || '_p' || turn || '_c' || c as chunk_id, conv_id || '.txt' as source_file, conv_id::varchar as source_stem, turn::int as page_num, c as chunk_index_on_page, s as char_start, e as char_end, 'text' as chunk_type, x as text from n""",
         "annotate_spans": f"with {_PLACED} select doc_id, label, text, start, \"end\" from placed",
-        "bio_align": f"""with {_PLACED}, {_SCORED},
-own as (select * from placed where doc_id in (select doc_id from sc)),
-word as (select doc_id, {_pieces("[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]")} as p from documents where doc_id in (select doc_id from sc)),
-tok as (select doc_id, unnest(p).a as a, unnest(p).b as b, unnest(range(len(p))) as i from word),
-met as (select t.doc_id, t.i, o.label, o.start, row_number() over (partition by t.doc_id, o.start, o.label order by t.i) as nth from tok t join own o on t.doc_id = o.doc_id and t.a < o.end and o.start < t.b),
-named as (select doc_id, i, arg_max(case when nth = 1 then 'B-' else 'I-' end || label, start) as name from met group by doc_id, i),
-ids as (select * from (values {", ".join(f"({i}, '{n}')" for i, n in enumerate(BIO_LABELS))}) v(label, name))
-select doc_id, (i + 1)::int as i, coalesce(ids.label, 0)::int as label from tok left join named using (doc_id, i) left join ids using (name)
-union all select doc_id, 0, -100 from word union all select doc_id, len(p)::int + 1, -100 from word""",
+        "bio_align": f"with {_PLACED}, {_SCORED}, {aligned('true')} select doc_id, i, label from aligned",
         "pair_hybrid": f"""with {_bm25(_ASKED, 20).strip()}, {_knn(20)}, {_fused(20)}, w as (select question_id, chunk_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from fused join benchmark b on b.item_id = question_id join documents d on d.doc_id = chunk_id),
 l as (select question_id, chunk_id, cr, 1 / (1 + exp(-(len(list_intersect(q, t)) - 0.5 * (len(q) - len(list_intersect(q, t)))))) as s from w)
 select question_id, chunk_id, round(s, 6) as score, row_number() over (partition by question_id order by round(s, 9) desc, cr) as rank from l qualify rank <= 6""",
@@ -237,3 +244,12 @@ select conv_id::varchar as source_file, '--- PAGE 1 ---' || chr(10) || chr(10) |
         end = f"cast(case when {s} + 1200 >= length(text) then length(text) when {back} > 0 and 1200 - {back} > 600 then {s} + 1200 - {back} else {s} + 1200 end as int)"
         out |= {name: out[name].replace(f"cut(text, {s})", end) for name in ("chunk_text", "chunk_ids")}
     return out | cases.oracle_sql()
+
+
+def job_sql() -> dict[str, str]:
+    """What the jobs' output is over documents."""
+    return {
+        "job1_refresh_index": f"with {_INDEX.strip()} select term, doc_id, tf, dl, df from post join terms using (term)",
+        # Spans that are a number only are no references.
+        "job2_tagger_corpus": f"with {_PLACED}, {_SCORED}, {aligned('not regexp_full_match(text, $$[0-9]+$$)')}, {_SPLIT} select id, split, i, token, label from aligned join split on split.id = aligned.doc_id::varchar",
+    }

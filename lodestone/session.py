@@ -21,16 +21,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Only a local
-    session may have a temporary folder instead."""
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir, which driver and executors share. Only a local session may have a temporary
+    folder instead."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", given)
-    path = f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that goes when the driver ends."""
+    path = new_folder(spark, name)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return path
