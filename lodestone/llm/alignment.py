@@ -14,7 +14,7 @@ says how common its linked pairs are in the corpus:
    maximum, then streams the lists past them and emits each document's part of the sums.
    An A id with more postings than BLOCK is salted: its lists are dealt to several tasks,
    each of which gets all of its heads.
-3. The parts are summed by document.
+3. The parts, vectors of a batch's documents, are shuffled by batch and summed by document.
 
 Both vocabularies split a text before a space and around a newline, so words are encoded
 and aligned once a worker and remembered; texts with other white space between words
@@ -350,7 +350,7 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by A id and salt, heads before lists -> (key, n_best, count_sum) of documents, in parts."""
+    """Rows by A id and salt, heads before lists -> parts of the sums of a batch's documents, a row a batch."""
     last, carried, parts = None, (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
 
     def gathered(every: bool) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts and (every or sum(len(p[0]) for p in parts) > 4 * GATHERED):
             parts = [_sums(*(np.concatenate(x) for x in zip(*parts)))]
             if every or len(parts[0][0]) > GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["key", "n_best", "count_sum"])
+                keys, best, sums = parts[0]
+                ends = np.append(np.flatnonzero(np.diff(keys >> _DOC)) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((keys >> _DOC)[ends - 1]), _cut((keys & (1 << _DOC) - 1).astype(np.uint16), ends), _cut(best, ends), _cut(sums, ends)], ["batch", "docs", "n_best", "count_sum"])
                 parts = []
 
     for batch in batches:
@@ -388,6 +390,32 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from gathered(True)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts, sorted by batch -> (key, n_best, count_sum) of each document that has any."""
+    last, total = None, np.zeros((2, DOCS), np.int64)
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        held = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array((int(last) << _DOC) + held), *(pa.array(t[held]) for t in total)], ["key", "n_best", "count_sum"])
+        total[:] = 0
+
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(numbers)) + 1, len(numbers))
+        lo = 0
+        for hi in ends if len(numbers) else ():
+            if numbers[lo] != last:
+                if last is not None:
+                    yield from emit()
+                last = numbers[lo]
+            docs = _joined(batch.column(1).slice(lo, hi - lo), np.uint16)[0]
+            for k in range(2):
+                np.add.at(total[k], docs, _joined(batch.column(2 + k).slice(lo, hi - lo), np.int64)[0])
+            lo = hi
+    if last is not None:
+        yield from emit()
+
+
 def align(docs: DataFrame, bpe: str, piece: str, block: int = BLOCK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs."""
     rows = settle(posting_lists(docs, bpe, piece))
@@ -400,6 +428,7 @@ def align(docs: DataFrame, bpe: str, piece: str, block: int = BLOCK) -> DataFram
     own = salted.select("a", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "heads", "counts", "docs", "times", "many")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_lists = heads.unionByName(own).repartition(tasks, "a", "salt").sortWithinPartitions("a", "salt", "kind")
-    sums = sorted_lists.mapInArrow(_stream, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = sorted_lists.mapInArrow(_stream, "batch long, docs binary, n_best binary, count_sum binary")
+    sums = parts.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(_added, "key long, n_best long, count_sum long")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return rows.filter("a is null").join(sums, "key", "left").select("doc_id", *COUNTS, zero("n_best"), zero("count_sum"), "groups_sha256")

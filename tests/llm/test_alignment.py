@@ -136,7 +136,7 @@ def test_stream_merges_runs_over_batches():
             batches.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c[j] for c in cells]) for j in range(len(names))], names))
             lo += n
         found = {}
-        for b in alignment._stream(iter(batches)):
+        for b in alignment._added(alignment._stream(iter(batches))):
             for k, x, y in zip(*(b.column(j).to_pylist() for j in range(3))):
                 found[k] = (found.get(k, (0, 0))[0] + x, found.get(k, (0, 0))[1] + y)
         assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in want.items()}
