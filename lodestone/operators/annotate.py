@@ -196,13 +196,3 @@ def token_accuracy(aligned: DataFrame, gold: str = "labels", predicted: str = "p
     """One row: share of equal labels among tokens whose gold label is not -100."""
     pairs = aligned.select(F.explode(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p"))).alias("x")).filter("x.g <> -100")
     return pairs.agg(F.avg(F.when(F.col("x.g") == F.col("x.p"), 1.0).otherwise(0.0)).alias("accuracy"))
-
-
-class Trainer:
-    """Interface of a token-classifier trainer (A20): given aligned rows with a split, fits and returns a tagger."""
-
-    learning_rate, batch, epochs = 2e-5, 4, 8
-
-    def fit(self, rows: DataFrame):
-        raise NotImplementedError("training a token classifier needs a deep-learning library; inject one")
-

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column
+from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column, tag_column
 from lodestone.functions.patterns import GENERAL
 from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, lexical, metrics
+from lodestone.operators.tagger import Trainer
 from lodestone.plans import cases, files
-from lodestone.session import ready
+from lodestone.session import ready, scratch
 from lodestone.sources.pages import html_column
 
 K, K_VALUES = 10, [1, 3, 5, 10]
@@ -304,6 +305,30 @@ def span_scores(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
+def _trained(spark, d):
+    """The split of the annotated records, and a tagger trained on the train rows."""
+    folder = scratch(ready(spark), "aligned")
+    annotate.align(annotate.candidates(chunks(spark, d), None, PACK), most=1 << 20).write.parquet(folder)
+    aligned = spark.read.parquet(folder)
+    split = annotate.split(aligned).select("id", "split")
+    return split, Trainer().fit(aligned.join(split, "id"))
+
+
+def tagger_predictions(spark, d):
+    """What a trained tagger finds in every document, without bad entities."""
+    found = annotate.predictions(chunks(spark, d), _trained(spark, d)[1], "corpus_idx").select("id", F.explode("predicted_entities").alias("e"))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "e.label", "e.text", "e.start", "e.end", F.round("e.score", 4).alias("score"))
+
+
+def tagger_scores(spark, d):
+    """Precision, recall and F1 of the trained tagger on the dev records, which it was not trained on."""
+    split, model = _trained(spark, d)
+    dev = annotate.candidates(chunks(spark, d), None, PACK).join(split.filter("split = 'dev'").select("id"), "id")
+    spans = lambda ents: dev.select("id", F.explode(ents).alias("e")).select("id", "e.label", "e.start", "e.end")
+    s = annotate.span_scores(spans("entities"), spans(tag_column(model, "text")))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
 def _turns(spark, d):
     return _t(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("rank"), F.col("role").alias("source_file"), F.col("turn").alias("page_num"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
 
@@ -360,7 +385,7 @@ NAMES = (
     text_clean, tokenize, bm25_index_stats, bm25_topk, knn_topk, rrf_hybrid, hybrid_single_side, entity_extract, entity_normalize, entity_clean, entity_index,
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
-    annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, format_context, source_list, hit_preview, select_records,
+    annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
     html_extract, pair_rerank, pair_hybrid, answers, embed_hash,
 )
 

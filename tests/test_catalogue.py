@@ -30,7 +30,7 @@ def test_query(spark, sf, name):
 
 
 def test_all_others_are_tested_here():
-    assert set(catalogue.queries()) - set(oracles.oracle_sql()) == {"overlap_removal", "chunk_table", "html_extract", "embed_hash"}
+    assert set(catalogue.queries()) - set(oracles.oracle_sql()) == {"overlap_removal", "chunk_table", "html_extract", "embed_hash", "tagger_predictions", "tagger_scores"}
 
 
 def texts(sf, table="documents", key="doc_id", text="text"):
