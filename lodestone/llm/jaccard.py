@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import memo
@@ -172,9 +172,9 @@ def summarise(docs: DataFrame, n: int, link: int, seed: int) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, DOCS)
 
 
-def filter_of(keys: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits of the hashes of a long column: as many bits whatever the table."""
-    spot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+def filter_of(keys: DataFrame, name: str, spot: Column | None = None) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits of the hashes of a long column, or of given spots: as many bits whatever the table."""
+    spot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)) if spot is None else spot
     rows = keys.select(spot.alias("s")).groupBy((F.col("s") / BITS_A_WORD).cast("long").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(s % {BITS_A_WORD} as int))")).alias("b")).collect()
     bits = np.zeros((FILTER_BITS // BITS_A_WORD + 1) * BITS_A_WORD, bool)
     if rows:

@@ -8,16 +8,19 @@ Whatever surrounds a passage of over 50 words, its cuts from its second word on
 same, and the first of them is before its tenth word. A run from there has its words by
 the passage's 44th and ends at a cut that the passage itself makes, so two texts with the
 passage share a run. Runs are hashed to 128 bits from their words, with case folded and
-whatever white space between; a partial aggregation finds in how many documents each run
-is and in which first, and a part goes if some run over it is not that run's first. Which
-run of a document repeats within it needs no shuffle. Cuts, hashes and sums are array
+whatever white space between. Each row counts a run once; counts and first rows are
+partial aggregates, so a run that is everywhere is a row a task, not a hot key. Only runs
+of two rows or more are joined with their occurrences again, between a settled table and an
+exchange that Spark can split. A part goes if some run over it is not that run's first.
+Which run of a row repeats within it needs no shuffle. Cuts, hashes and sums are array
 operations over a batch of texts.
 
 Defined results: a null text stays null and an empty one empty, with no sentences, as has
 a text without words; very long texts are cut whole; the first occurrence is the one in
-the smallest doc_id, then the earliest in the text; rows with the same doc_id count as
-one document and rows with a null doc_id as one after all others; extra columns are
-ignored; an empty table gives no rows.
+the smallest doc_id, nulls last, of rows with one doc_id or none in the row that was dealt
+out first, and then the earliest in the text; every row is a text of its own, so rows that
+share a doc_id, have none or are equal lose what they repeat; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import memo
-from lodestone.llm.common import only
+from lodestone.llm.common import only, settle
+from lodestone.llm.jaccard import FILTER_BITS, filter_of
 from lodestone.llm.wordhash import characters, mix, powers, slices, word_hashes
 
 SENTENCES, LEAST_WORDS, WINDOW = 3, 28, 8
@@ -115,14 +119,22 @@ def cut(texts: list[str | None], least_sentences: int = SENTENCES, least_words:
     return Cut(part_at, begin, np.searchsorted(first, part_at), first, end, *(h.view(np.int64) for h in hashes))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            c = cut(texts[lo:hi])
-            once = ~c.repeated()
-            names = np.array([NULL_ID if x is None else x for x in ids[lo:hi]], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, np.diff(c.run_at))[once]), pa.array(c.h1[once]), pa.array(c.h2[once])], ["doc", "h1", "h2"])
+def _digests(shared=None):
+    """A function of (key, doc, text): the runs of each row, once each, or only those that may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, docs, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for lo, hi in slices(texts):
+                c = cut(texts[lo:hi])
+                taken = ~c.repeated()
+                if shared is not None:
+                    spot = c.h1 % FILTER_BITS
+                    taken &= (shared.value[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+                n = np.diff(c.run_at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[lo:hi], n)[taken]) for x in (keys, docs)] + [pa.array(c.h1[taken]), pa.array(c.h2[taken])], ["key", "doc", "h1", "h2"])
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +161,20 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(np.diff(c.part_at), pa.int64()), pa.array(n_gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
 
+RUNS = "key long, doc long, h1 long, h2 long"
+
+
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, n_sentences, n_removed."""
-    docs = only(docs, "doc_id", "text")
-    # Dealt out once for both uses. The filter, which drops nothing, keeps Spark from adding one to a single use.
-    found = docs.mapInArrow(_digests, "doc long, h1 long, h2 long").filter("doc is not null and h1 is not null and h2 is not null").repartition("h1", "h2")
-    shared = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1").drop("n")
-    later = found.join(shared, ["h1", "h2"]).filter("doc > first").groupBy("doc").agg(F.collect_list("h1").alias("later"))
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    return docs.join(later, key == F.col("doc"), "left").select("doc_id", "text", "later").mapInArrow(_remove, "doc_id long, text string, n_sentences long, n_removed long")
+    named = settle(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("key")))
+    rows = named.select("key", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    counted = rows.mapInArrow(_digests(), RUNS).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
+    shared = settle(counted.filter("n > 1").select("h1", "h2", "first"))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(shared, "h1", F.pmod("h1", F.lit(FILTER_BITS))))
+    met = settle(rows.mapInArrow(_digests(bits), RUNS).join(shared, ["h1", "h2"]))
+    # Rows of one doc_id, or of none: the first of them is told by its key.
+    tied = settle(met.filter("doc = first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).filter("n > 1").select("h1", "h2", "least"))
+    again = met.filter("doc = first").join(tied, ["h1", "h2"]).filter("key > least").select("key", "h1")
+    # A list holds runs of one row only.
+    later = met.filter("doc > first").select("key", "h1").unionByName(again).groupBy("key").agg(F.collect_list("h1").alias("later"))
+    return named.join(later, "key", "left").select("doc_id", "text", "later").mapInArrow(_remove, "doc_id long, text string, n_sentences long, n_removed long")
