@@ -150,14 +150,14 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def _route(parts: np.ndarray, top: GrayIndex, most: int):
-    """Of each fingerprint its own range, as a member, and the others it visits."""
+    """What each range gets: its own fingerprints as members, and visitors; those that go to one range together are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, place, home = (batch.column(k).to_numpy() for k in range(3))
+            code, home = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             at, to = [np.arange(len(code))], [home]
             for lo in range(0, len(code), VISITORS):
-                i, j = top.search(code[lo : lo + VISITORS].view(np.uint64), most)
+                i, j = top.search(code[lo : lo + VISITORS], most)
                 own, other = home[lo + i], parts[j]
                 # Of two ranges one sends to the other: the first if their numbers differ by an even number.
                 sends = (own != other) & ((own < other) == ((own + other) % 2 == 0))
@@ -165,7 +165,11 @@ def _route(parts: np.ndarray, top: GrayIndex, most: int):
                 to.append(other[sends])
             at, to = np.concatenate(at), np.concatenate(to)
             visits = np.arange(len(at)) >= len(code)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(visits), pa.array(place[at]), pa.array(code[at])], ["part", "visits", "place", "code"])
+            order = np.lexsort((visits, to))
+            at, to, visits = at[order], to[order], visits[order]
+            ends = np.append(np.flatnonzero((np.diff(to) != 0) | (np.diff(visits.astype(np.int8)) != 0)) + 1, len(to)) if len(to) else np.zeros(0, np.int64)
+            rows = [code[at[lo:hi]].tobytes() for lo, hi in zip(np.append(0, ends[:-1]), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[ends - 1]), pa.array(visits[ends - 1]), pa.array(rows, pa.binary())], ["part", "visits", "codes"])
 
     return run
 
@@ -180,6 +184,7 @@ def _links(most: int):
             nonlocal index, members
             if index is None:
                 members = np.concatenate(members)
+                members = members[np.argsort(_ordered(members))]
                 index = GrayIndex(members)
             for lo in range(0, len(codes), VISITORS):
                 some = codes[lo : lo + VISITORS]
@@ -195,19 +200,16 @@ def _links(most: int):
                 yield from searched(np.concatenate(members))
 
         for batch in batches:
-            parts, visits, code = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy().view(np.uint64)
-            ends = np.append(np.flatnonzero((np.diff(parts) != 0) | (np.diff(visits.astype(np.int8)) != 0)) + 1, len(parts))
-            lo = 0
-            for hi in ends if len(parts) else ():
-                if parts[lo] != part:
+            for to, visits, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                codes = np.frombuffer(codes.as_buffer(), np.uint64)
+                if to != part:
                     yield from own()
-                    part, members, index = parts[lo], [], None
-                if visits[lo]:
+                    part, members, index = to, [], None
+                if visits:
                     yield from own()
-                    yield from searched(code[lo:hi])
+                    yield from searched(codes)
                 else:
-                    members.append(code[lo:hi])
-                lo = hi
+                    members.append(codes)
         yield from own()
 
     return run
@@ -217,15 +219,15 @@ def links(codes: DataFrame, most: int = MOST, size: int = RANGE) -> DataFrame:
     """codes: distinct (code, place) -> links (a, b) that connect just what is within ``most`` bits."""
     spark = codes.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-codes.count() // size))
-    ranged = settle(codes.repartitionByRange(tasks, "place").select("code", "place", F.spark_partition_id().cast("long").alias("part")))
+    ranged = settle(codes.repartitionByRange(tasks, "place").sortWithinPartitions("place").select("code", "place", F.spark_partition_id().cast("long").alias("part")))
     # One row a range: the topmost level, in Gray order.
     top = ranged.groupBy("part").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some"), F.min("place").alias("place")).orderBy("place").collect()
     if not top:
         return spark.createDataFrame([], "a long, b long")
     parts = np.array([r["part"] for r in top], np.int64)
     index = GrayIndex(*(np.array([r[c] for r in top], np.int64).view(np.uint64) for c in ("every", "some")))
-    routed = ranged.mapInArrow(_route(parts, index, most), "part long, visits boolean, place long, code long")
-    return routed.repartition(tasks, "part").sortWithinPartitions("part", "visits", "place").mapInArrow(_links(most), "a long, b long")
+    routed = ranged.select("code", "part").mapInArrow(_route(parts, index, most), "part long, visits boolean, codes binary")
+    return routed.repartition(tasks, "part").sortWithinPartitions("part", "visits").mapInArrow(_links(most), "a long, b long")
 
 
 def link_documents(docs: DataFrame, n: int = WORDS, most: int = MOST, size: int = RANGE) -> DataFrame:
