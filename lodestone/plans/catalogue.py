@@ -18,7 +18,7 @@ from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column
 from lodestone.functions.patterns import GENERAL
 from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, lexical, metrics
 from lodestone.operators.tagger import Trainer
-from lodestone.plans import cases, files
+from lodestone.plans import files, references
 from lodestone.session import ready, scratch
 from lodestone.sources.pages import html_column
 
@@ -296,7 +296,9 @@ def bio_align(spark, d):
 
 
 def label_vocabulary(spark, d):
-    return annotate.label_vocabulary(spark)
+    """Every label with its number and how many tokens of the aligned records have it."""
+    given = bio_align(spark, d).groupBy(F.col("label").alias("label_id")).agg(F.count(F.lit(1)).alias("n"))
+    return annotate.label_vocabulary(spark).join(given, "label_id", "left").select("label_id", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def span_scores(spark, d):
@@ -391,4 +393,4 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES} | cases.queries() | files.queries()
+    return {f.__name__: f for f in NAMES} | references.queries() | files.queries()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone.functions.patterns import BIO_LABELS
 from lodestone.operators.generate import SYSTEM, USER
-from lodestone.plans import cases
+from lodestone.plans import references
 
 _SPACE = r"[ \t]+"
 _STRIP = r"^[\s\x0b]+|[\s\x0b]+$"
@@ -196,7 +196,7 @@ select doc_id::varchar as chunk_id, auto_score, 0 as src from known union all se
 count(*) filter (where doc_id not in (select doc_id from labels) and length(trim(text)) < 80) as short,
 count(*) filter (where doc_id not in (select doc_id from labels) and length(trim(text)) >= 80 and nd + nr > 0) as with_entities from cnt""",
         "finalize_entities": f"with {_SCORED} select doc_id, n - nn as n_left, nn as removed from sc",
-        "label_vocabulary": "select * from (values " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(BIO_LABELS)) + ") t(label_id, label)",
+        "label_vocabulary": f"with {_PLACED}, {_SCORED}, {aligned('true')} select ids.label as label_id, name as label, count(a.doc_id) as n from ids left join aligned a on a.label = ids.label group by all",
         "span_scores": f"with {_COUNTS} select 1.0::double as precision, round(sum(nd) / sum(nd + nr), 6) as recall, round(2 * sum(nd) / (sum(nd) + sum(nd + nr)), 6) as f1 from cnt",
         "format_context": f"""select conv_id, chr(10) || chr(10) || string_agg('[SOURCE ' || turn || ']' || chr(10) || 'file: ' || role || chr(10) || 'page: ' || turn || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'text:' || chr(10) || text,
 chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as context from ({_TURN}) group by conv_id""",
@@ -243,7 +243,7 @@ select conv_id::varchar as source_file, '--- PAGE 1 ---' || chr(10) || chr(10) |
         back = f"strpos(reverse({part(s)}), ' ')"
         end = f"cast(case when {s} + 1200 >= length(text) then length(text) when {back} > 0 and 1200 - {back} > 600 then {s} + 1200 - {back} else {s} + 1200 end as int)"
         out |= {name: out[name].replace(f"cut(text, {s})", end) for name in ("chunk_text", "chunk_ids")}
-    return out | cases.oracle_sql()
+    return out | references.oracle_sql(_tokens, lambda asked, k: _bm25(asked, k).strip())
 
 
 def job_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Operators on small literal tables: texts that the test tables lack, such as Russian references and odd rows.
+"""Operators on small literal tables: texts that the test tables lack, such as odd references and rows.
 
 Each case has its rows here and the rows that must come out as SQL values, worked out by hand from the definitions.
 """
