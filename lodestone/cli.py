@@ -1,4 +1,4 @@
-"""Command line: ask a question, evaluate pipelines, or choose from a menu."""
+"""Command line: learn embeddings, ask a question, evaluate pipelines, or choose from a menu."""
 
 from __future__ import annotations
 
@@ -11,8 +11,12 @@ from lodestone.plans.engine import RetrievalEngine
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
     sub = p.add_subparsers(dest="command")
+    s = sub.add_parser("embed", help="learn an embedding model from chunks; write it and the chunks' vectors")
+    for name in ("chunks", "vectors", "model"):
+        s.add_argument(f"--{name}", required=True, help=f"Parquet table of the {name}")
     for name in ("ask", "eval", "menu"):
         s = sub.add_parser(name)
+        s.add_argument("--model", help="Parquet table of the model that the vectors were made with")
         s.add_argument("--chunks", required=True, help="Parquet table of chunks")
         s.add_argument("--vectors", required=True, help="Parquet table of vectors")
         s.add_argument("--entities", required=True, help="Parquet table of the entity index")
@@ -31,10 +35,23 @@ def parser() -> argparse.ArgumentParser:
 
 
 def engine(spark, args, **models) -> RetrievalEngine:
-    from lodestone.functions.models import HashEmbedder
+    from lodestone.operators.latent import LatentEmbedder
 
+    if "embedder" not in models:
+        if not args.model:
+            raise SystemExit("--model: the table that `embed` wrote with the vectors")
+        models["embedder"] = LatentEmbedder.read(spark, args.model)
     read = spark.read.parquet
-    return RetrievalEngine(read(args.chunks), read(args.vectors), read(args.entities), **({"embedder": HashEmbedder()} | models))
+    return RetrievalEngine(read(args.chunks), read(args.vectors), read(args.entities), **models)
+
+
+def embed(spark, args) -> None:
+    from lodestone.operators import latent
+
+    chunks = spark.read.parquet(args.chunks)
+    model = latent.fit(chunks)
+    model.write(spark, args.model)
+    latent.vectors(chunks, model).write.mode("overwrite").parquet(args.vectors)
 
 
 def ask(e: RetrievalEngine, args) -> None:
@@ -60,7 +77,13 @@ def main(argv: list[str] | None = None, **models) -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    e = engine(SparkSession.builder.appName("lodestone").getOrCreate(), args, **models)
+    from lodestone.session import ready
+
+    spark = ready(SparkSession.builder.appName("lodestone").getOrCreate())
+    if args.command == "embed":
+        embed(spark, args)
+        return 0
+    e = engine(spark, args, **models)
     if args.command != "menu":
         (ask if args.command == "ask" else evaluate)(e, args)
         return 0

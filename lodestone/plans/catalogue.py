@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column, tag_column
 from lodestone.functions.patterns import GENERAL
-from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, lexical, metrics
+from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, latent, lexical, metrics
 from lodestone.operators.tagger import Trainer
 from lodestone.plans import files, references
 from lodestone.session import ready, scratch
@@ -383,12 +383,21 @@ def embed_hash(spark, d):
     return e.select("question_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
+def latent_topk(spark, d):
+    """Text in, hits out: documents and questions embedded by a model that is learned from the documents (V1, V2, V6)."""
+    docs, folder = chunks(spark, d), scratch(ready(spark), "vectors")
+    model = latent.fit(docs)
+    latent.vectors(docs, model).write.parquet(folder)
+    asked = questions(spark, d).select("question_id", embed_column(model, "question").alias("embedding"))
+    return dense.topk(spark.read.parquet(folder), asked, K).select("question_id", F.col("corpus_idx").alias("doc_id"), F.round("dense_score", 4).alias("score"), F.col("dense_rank").alias("rank"))
+
+
 NAMES = (
     text_clean, tokenize, bm25_index_stats, bm25_topk, knn_topk, rrf_hybrid, hybrid_single_side, entity_extract, entity_normalize, entity_clean, entity_index,
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
     annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
-    html_extract, pair_rerank, pair_hybrid, answers, embed_hash,
+    html_extract, pair_rerank, pair_hybrid, answers, embed_hash, latent_topk,
 )
 
 
