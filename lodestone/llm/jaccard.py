@@ -18,7 +18,9 @@ inequality two members can only link if their distances to the pivot differ by n
 than the link distance, counts of shingles in buckets bound their distance from below,
 and what is left is measured exactly. A large cell is compared in blocks, each block of
 members with each block of strangers in a task, so a cell of near copies costs in
-proportion to its members. Equal sets are one class from the start, so copies are never
+proportion to its members. There are two levels, not more: strangers of one pivot get no
+pivots of their own, so a family of many texts that share much but don't link is compared
+in the square of its number. Equal sets are one class from the start, so copies are never
 paired.
 
 Defined results: texts without words have the empty set, link with nothing and are

@@ -472,7 +472,8 @@ def train_model(train: DataFrame, v: Vocabulary) -> Model:
     # The first part is a share of the hashes; of what is left each group has as large a share.
     edge = int(min(1.0, GROUP / max(1, v.tokens)) * 2.0**20)
     spot = F.pmod(F.col("h"), F.lit(1 << 20))
-    first = hashed.filter(spot < edge).select(F.lit(0).cast("long").alias("g"), "h", "symbols").coalesce(1).sortWithinPartitions("h", "symbols")
+    # Chosen in the tasks that scan; only the first part, about GROUP tokens, goes to one task.
+    first = hashed.filter(spot < edge).select(F.lit(0).cast("long").alias("g"), "h", "symbols").repartition(1).sortWithinPartitions("h", "symbols")
     start = _trained(first, v, None)
     rest = hashed.filter(spot >= edge).select((1 + F.pmod(F.shiftright("h", 20), F.lit(groups))).alias("g"), "h", "symbols")
     flat = _trained(rest.repartitionByRange(groups, "g").sortWithinPartitions("g", "h", "symbols"), v, start) if edge < 1 << 20 else start
