@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column, tag_column
 from lodestone.functions.patterns import GENERAL
-from lodestone.operators import annotate, chunking, dense, entities, fusion, generate, latent, lexical, metrics
+from lodestone.operators import annotate, cells, chunking, dense, entities, fusion, generate, latent, lexical, metrics
 from lodestone.operators.tagger import Trainer
 from lodestone.plans import files, references
 from lodestone.session import ready, scratch
@@ -74,6 +74,13 @@ def knn_topk(spark, d):
     return dense.topk(vectors(spark, d), dense_questions(spark, d), K).select("question_id", F.col("corpus_idx").alias("vec_id"), F.round("dense_score", 6).alias("score"), F.col("dense_rank").alias("rank"))
 
 
+def knn_cells(spark, d):
+    """The nearest vectors from an index of cells, written and read back (V5, V6); its recall is measured against knn_topk."""
+    path, held = scratch(ready(spark), "cells"), vectors(spark, d)
+    cells.write(held, path, *cells.fit(held))
+    return cells.topk(spark, path, held, dense_questions(spark, d), K).select("question_id", F.col("corpus_idx").alias("vec_id"), F.round("dense_score", 6).alias("score"), F.col("dense_rank").alias("rank"))
+
+
 def _named(df):
     return df.withColumn("chunk_id", F.col("corpus_idx"))
 
@@ -397,7 +404,7 @@ NAMES = (
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
     annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
-    html_extract, pair_rerank, pair_hybrid, answers, embed_hash, latent_topk,
+    html_extract, pair_rerank, pair_hybrid, answers, embed_hash, latent_topk, knn_cells,
 )
 
 
