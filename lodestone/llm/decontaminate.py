@@ -15,7 +15,7 @@ sampled so far agree with some item, which changes no key and no result.
 Items of fewer than ``WALKED`` words have too few alignments and walks too short for that
 recall. They are cut into one piece more than the edits they may have, so one piece is
 unedited in every match, and each piece is looked up at every word: none is missed.
-Items with fewer than ``SHORTEST`` words are looked up whole and match unedited only.
+Items of fewer than five words may have no edit, so they are one piece.
 
 Each window or piece found is verified by the exact word edit distance of the item to
 the best-matching part of the document around it, at most ``DISTANCE`` times the item's
@@ -26,9 +26,10 @@ words; more items are more passes over the documents.
 
 Defined results: null and empty texts have no match; items without words or with null
 text match nothing; very long texts are read whole; of parts at one distance the first
-counts; equal rows are matched each, and rows with one doc_id are one row of
-``contaminated``, null ids included; ``decontaminate`` decides by the row's own text, and
-extra columns stay there; an empty table, of documents or of items, gives no match.
+counts; equal rows are matched each, and ``contaminated`` has one row a doc_id and text,
+null ids included, so rows without an id are not gathered; ``decontaminate`` decides by
+the row's own text, and extra columns stay there; an empty table, of documents or of
+items, gives no match.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ from lodestone.llm.common import only
 from lodestone.llm.wordhash import hashed
 from lodestone.session import ready
 
-DISTANCE, RECALL, STRIDE, SHORTEST = 0.2, 0.99, 9, 8
+DISTANCE, RECALL, STRIDE = 0.2, 0.99, 9
+#: Walks begin at each word of an item from which so many are left.
+LEFT = 8
 #: From so many words on an item is met by walks with the target recall at any distance allowed (see the tests).
 WALKED = 30
 #: Places of a walk in a key, and how many keys share a walk.
@@ -94,7 +97,7 @@ class Index:
         self.items = [(i, c) for i, t in items for c in [codes(t)] if len(c)]
         self.sorted = [np.unique(c) for _, c in self.items]
         # An item is read from each word on; what is left must be worth a key.
-        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) if len(c) >= WALKED for s in range(len(c) - SHORTEST + 1)]
+        self.variants = [(k, s) for k, (_, c) in enumerate(self.items) if len(c) >= WALKED for s in range(len(c) - LEFT + 1)]
         width = REACH + 1
         sheet = np.zeros((len(self.variants), width), np.uint64)
         for row, (k, s) in enumerate(self.variants):
@@ -131,7 +134,7 @@ class Index:
 
     def most(self, item: np.ndarray) -> int:
         """The edits an item may have."""
-        return int(self.distance * len(item)) if len(item) >= SHORTEST else 0
+        return int(self.distance * len(item) + 1e-9)
 
     @staticmethod
     def _written(flat, start, walk):
@@ -317,8 +320,15 @@ def _matched(index: Index, texts: list[str | None]) -> dict[int, dict[int, tuple
 
 def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:
     """One row a document and item found in it: doc_id, item_id, distance, first_word, end_word."""
+    return _found(docs, benchmark, distance, recall).drop("text_key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, distance: float, recall: float) -> DataFrame:
+    """As find_items, and text_key, a hash of the text."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
+    fields = [("doc_id", "long", pa.int64()), ("text_key", "long", pa.int64()), ("item_id", "long", pa.int64())]
+    fields += [(n, "int", pa.int32()) for n in ("distance", "first_word", "end_word")]
+    schema = ", ".join(f"{n} {kind}" for n, kind, _ in fields)
     out = None
     for block in _blocks(benchmark):
         held = spark.sparkContext.broadcast((uuid.uuid4().hex, block, distance, tables_for(recall)))
@@ -326,22 +336,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(held.value)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[d], name, *best) for d, own in _matched(index, batch.column(1).to_pylist()).items() for name, best in sorted(own.items())]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "first_word", "end_word"])
+                ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                rows = [(ids[d], keys[d], name, *best) for d, own in _matched(index, batch.column(1).to_pylist()).items() for name, best in sorted(own.items())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(fields)], [n for n, _, _ in fields])
 
-        found = only(docs, "doc_id", "text").mapInArrow(run, schema)
+        found = only(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row a doc_id with a match: doc_id, n_items, item_ids (ascending), distances and word spans in that order.
-    A document's items are found in one task, but blocks of items in several, so its rows are gathered."""
-    hit = find_items(docs, benchmark, **options)
+def contaminated(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:
+    """One row a doc_id and text with a match: doc_id, n_items, item_ids (ascending), distances and word spans in that order.
+    A text's items are found in one task, but blocks of items in several, so its rows are gathered."""
+    hit = _found(docs, benchmark, distance, recall)
     one = F.sort_array(F.collect_set(F.struct("item_id", "distance", "first_word", "end_word")))
-    return hit.groupBy("doc_id").agg(one.alias("m")).select("doc_id", F.size("m").cast("long").alias("n_items"), F.col("m.item_id").alias("item_ids"), F.col("m.distance").alias("distances"), F.col("m.first_word").alias("first_words"), F.col("m.end_word").alias("end_words"))
+    return hit.groupBy("doc_id", "text_key").agg(one.alias("m")).select("doc_id", F.size("m").cast("long").alias("n_items"), F.col("m.item_id").alias("item_ids"), F.col("m.distance").alias("distances"), F.col("m.first_word").alias("first_words"), F.col("m.end_word").alias("end_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:

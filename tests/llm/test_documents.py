@@ -359,12 +359,12 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 4, 7, 8, 9, 10, 12, 15, 17, 20, 25, 29, 30, 40])
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 7, 8, 9, 10, 12, 15, 17, 20, 25, 29, 30, 40])
 def test_decontaminate_by_length(spark, n):
     """Items of each length, as they are and at the largest distance allowed, at any alignment."""
     r = np.random.default_rng(n)
     items = [(i, " ".join(f"a{x}" for x in r.integers(0, 10**9, n))) for i in range(100)]
-    most = int(0.2 * n) if n >= 8 else 0
+    most = n // 5
     fill = lambda: [f"q{x}" for x in r.integers(0, 1000, int(r.integers(0, 40)))]
     rows = []
     for i, t in items:
@@ -390,6 +390,9 @@ def test_decontaminate_by_row(spark):
     assert kept == Counter([(1, "clean"), (None, "clean too"), (2, None), (2, "")])
     found = {x["doc_id"]: x for x in decontaminate.contaminated(frame(spark, rows), bench).collect()}
     assert set(found) == {1, 2, 3, None} and found[3]["first_words"] == [60_000]
+    # Rows without an id are not gathered in one row.
+    many = decontaminate.contaminated(frame(spark, [(None, f"{item} {k}") for k in range(9)] + [(None, f"{item} 0")]), bench).collect()
+    assert [(x["doc_id"], x["item_ids"]) for x in many] == [(None, [5])] * 9
 
 
 def levenshtein(a, b):

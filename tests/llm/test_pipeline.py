@@ -19,7 +19,7 @@ from .test_documents import brute_components
 def holds(item, text, share=0.2):
     """Whether some part of the text is within the edit distance of the item, by the plain table."""
     most = int(share * len(item))
-    if len(item) < 8 or len(set(item) & set(text)) < len(set(item)) - most:
+    if not item or len(set(item) & set(text)) < len(set(item)) - most:
         return False
     row = [0] * (len(text) + 1)
     for i, w in enumerate(item):
