@@ -16,12 +16,20 @@ cells. Members in the pivot's component are settled: they are not compared with
 other. The others of the cell, its strangers, meet all its members: by the triangle
 inequality two members can only link if their distances to the pivot differ by no more
 than the link distance, counts of shingles in buckets bound their distance from below,
-and what is left is measured exactly. A large cell is compared in blocks, each block of
-members with each block of strangers in a task, so a cell of near copies costs in
-proportion to its members. There are two levels, not more: strangers of one pivot get no
-pivots of their own, so a family of many texts that share much but don't link is compared
-in the square of its number. Equal sets are one class from the start, so copies are never
-paired.
+and what is left is measured exactly. A cell is compared in blocks, each block of members
+with each block of strangers in a task, so a cell of near copies costs in proportion to
+its members.
+
+Where members times strangers are more than one block by another, as among many texts of
+one template that don't link, regions recur: all distances to a pivot are alike there and
+its inequality rules nothing out, so the cell is not compared. Its members get new regions
+instead, whose pivots are again parts of sets: single shingles, the rarest among these
+members first, as many of each set as two sets that link must share one of. What the
+members have in common is thereby left aside. The regions of all such cells are one table,
+which a member of many of them enters once, and are worked as the ones before, with
+pivots, cells and strangers; no pair is measured twice. This goes on while it at least halves the members of such
+cells; what doesn't is compared in blocks, so no link is lost. Equal sets are one class
+from the start, so copies are never paired.
 
 Defined results: texts without words have the empty set, link with nothing and are
 their own component; rows with a null doc_id are grouped like others, and a component's
@@ -224,6 +232,12 @@ def _close_pairs(link: int):
     return run
 
 
+def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two components, with their roots ra and rb; a node without links is its own."""
+    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return both.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+
+
 class Join:
     """The join of one table of documents."""
 
@@ -237,13 +251,27 @@ class Join:
                 return  # no two sets have one fingerprint
         raise RuntimeError("fingerprints of different sets are equal under eight seeds")
 
-    def members(self) -> DataFrame:
-        """(region, node, weight, pivot) of the regions with more than one node. weight: how often a node meets others; the heaviest is the pivot."""
+    def entered(self) -> DataFrame:
+        """(node, region) of the first level."""
         entered = self.all.select("node", F.explode("regions").alias("region"))
         # Sets with too few slices of any size, small ones if there are any, are joined by single shingles instead.
         most = self.all.filter("odd").agg(F.max("n").alias("n")).first()["n"]
         if most is not None:
             entered = entered.unionByName(self._singles(most * 100 // self.link))
+        return entered
+
+    def rarest(self, wide: DataFrame) -> DataFrame:
+        """(node, region) of the next level for the members of wide cells: a region is a shingle, a set enters those of its rarest."""
+        one = self.sets(wide).select("node", F.size("set").alias("n"), F.explode("set").alias("region"))
+        held = settle(one.groupBy("region").agg(F.count(F.lit(1)).alias("held")))
+        # A shingle of one member leads to no pair, but has its place in the order.
+        ordered = F.sort_array(F.collect_list(F.struct("held", "region")))
+        first = F.slice(ordered, F.lit(1), F.expr(f"cast(n - ceil(n * {self.link} / 100) + 1 as int)"))
+        ranked = one.join(held, "region").groupBy("node", "n").agg(first.alias("first"))
+        return settle(ranked.select("node", F.explode("first").alias("f")).filter("f.held > 1").select("node", "f.region"))
+
+    def members(self, entered: DataFrame) -> DataFrame:
+        """(region, node, weight, pivot) of the regions with more than one node. weight: how often a node meets others; the heaviest is the pivot."""
         shared = settle(entered.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("region"))
         packed = self.docs.sparkSession.sparkContext.broadcast(filter_of(shared, "region"))
 
@@ -322,37 +350,60 @@ class Join:
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return settle(x.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("both")).select("a", "b", "common", (F.col("both") - F.col("common")).alias("either")))
 
-    def rooted(self) -> DataFrame:
-        """(node, doc_id, root) of every node; linked nodes have one root. The pivots' links give the first components;
-        the links found later only join those, so they are followed between their roots."""
-        members = self.members()
-        linked = F.col("common") * 100 >= F.col("either") * self.link
-        near = self.measured(members.filter("node <> pivot").selectExpr("pivot as a", "node as b"))
-        roots = components(near.filter(linked).select("a", "b"))
-        # The Voronoi region of a pivot: the members of all regions it is the pivot of, with their distance to it where
-        # it was measured, and their component.
-        distance = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
+    def joined(self, roots: DataFrame | None, near: DataFrame) -> DataFrame:
+        """(node, root) of every node with a link: the roots so far, joined by further links. Those are followed between roots."""
+        links = near.filter(F.col("common") * 100 >= F.col("either") * self.link).select("a", "b")
+        if roots is None:
+            return components(links)
+        between = _with_roots(links, roots).selectExpr("ra as a", "rb as b")
+        over = components(between)
+        known = roots.join(over.toDF("root", "last"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        return settle(known.unionByName(over.join(roots, "node", "left_anti")))
+
+    def cells(self, members: DataFrame, near: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The Voronoi region of a pivot: the members of all regions it is the pivot of, with their distance to it where
+        it was measured, and their component; and the sizes of those with strangers."""
+        d = (1 - F.col("common") / F.col("either")).alias("d")
+        distance = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), d).unionByName(near.select(F.col("b").alias("pivot"), F.col("a").alias("node"), d))
         cell = members.select("pivot", "node").distinct().join(distance, ["pivot", "node"], "left").join(roots, "node", "left")
-        cell = settle(cell.select("pivot", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), F.coalesce("root", "node").alias("root")))
+        cell = settle(cell.select("pivot", "node", "d", F.coalesce("root", "node").alias("root")))
         # What is in the pivot's component needs no comparison with its like: only the others of the cell, the strangers, meet all.
         home = cell.filter("node = pivot").select("pivot", F.col("root").alias("home"))
-        strange = F.col("root") != F.col("home")
-        placed = settle(cell.filter("node <> pivot").join(home, "pivot").select("pivot", "node", "d", "root", strange.alias("strange")))
-        count = lambda c: F.ceil(c / BLOCK).cast("long")
-        split = settle(placed.groupBy("pivot").agg(count(F.count(F.lit(1))).alias("blocks"), count(F.count(F.when(F.col("strange"), 1))).alias("strangers"), F.count(F.lit(1)).alias("size")).filter("strangers > 0 and size > 1").drop("size"))
+        placed = settle(cell.filter("node <> pivot").join(home, "pivot").select("pivot", "node", "d", "root", (F.col("root") != F.col("home")).alias("strange")))
+        size = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("strange"), 1)).alias("strangers"))
+        return placed, settle(size.filter("strangers > 0 and size > 1"))
+
+    def within(self, placed: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The pairs (a, b) of strangers with others of their cells that may link, block by block."""
+        count = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+        split = sizes.select("pivot", count("size").alias("blocks"), count("strangers").alias("strangers"))
         own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         block = settle(placed.join(split, "pivot").join(self.nodes.select("node", "n"), "node").join(self.counts(), "node"))
         shown = ["pivot", "node", "n", "root", "d", "counts"]
         every = block.select(*shown, F.lit(False).alias("asks"), own("blocks").alias("i"), spread("strangers").alias("j"))
         asking = block.filter("strange").select(*shown, F.lit(True).alias("asks"), spread("blocks").alias("i"), own("strangers").alias("j"))
-        pairs = every.unionByName(asking).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
-        more = self.measured(pairs, near.select("a", "b"))
-        first = settle(self.nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
-        root_of = first.select("node", "root")
-        joined = more.filter(linked).select("a", "b").join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b")
-        over = components(joined.selectExpr("ra as a", "rb as b"))
-        return settle(first.join(over.toDF("root", "last"), "root", "left").select("node", "doc_id", F.coalesce("last", "root").alias("root")))
+        return every.unionByName(asking).groupBy("pivot", "i", "j").applyInArrow(_close_pairs(self.link), "a long, b long")
+
+    def rooted(self) -> DataFrame:
+        """(node, doc_id, root) of every node; linked nodes have one root."""
+        entered, roots, done, before = self.entered(), None, None, None
+        while True:
+            members = self.members(entered)
+            pairs = members.filter("node <> pivot").selectExpr("least(pivot, node) as a", "greatest(pivot, node) as b")
+            near = self.measured(pairs if roots is None else _with_roots(pairs.distinct(), roots).select("a", "b"), done)
+            roots = self.joined(roots, near)
+            placed, sizes = self.cells(members, near, roots)
+            wide = F.col("size") * F.col("strangers") > BLOCK * BLOCK
+            again = settle(placed.join(sizes.filter(wide).select("pivot"), "pivot").select("node").distinct())
+            left = again.count()
+            recurs = 0 < left and (before is None or 2 * left <= before)
+            done = near.select("a", "b") if done is None else done.unionByName(near.select("a", "b"))
+            more = self.measured(self.within(placed, sizes.filter(~wide) if recurs else sizes), done)
+            roots = self.joined(roots, more)
+            if not recurs:
+                return settle(self.nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+            done, entered, before = done.unionByName(more.select("a", "b")), self.rarest(again), left
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row. Sets get their component first, so copies are met once, at the end."""

@@ -551,3 +551,25 @@ def test_regions_share_at_80():
             (ra, oa), (rb, ob) = jaccard.regions(a, 80), jaccard.regions(b, 80)
             assert oa or ob or len(np.intersect1d(ra, rb))
     assert met > 100
+
+
+def test_template_family(spark, monkeypatch):
+    """Texts of one template that don't link: regions recur, and few pairs are measured; links among them stay."""
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    r = np.random.default_rng(33)
+    template = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(100)])) for i in range(150)]
+    for i in range(0, 150, 10):
+        w = rows[i][1].split()
+        w[int(r.integers(len(w)))] = "edit"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(3000, rows[0][1] + " tail"), (None, rows[3][1]), (4000, ""), (4001, None)]
+    measured, compared = [], []
+    old_measured, old_within = jaccard.Join.measured, jaccard.Join.within
+    monkeypatch.setattr(jaccard.Join, "measured", lambda self, pairs, done=None: measured.append(out := old_measured(self, pairs, done)) or out)
+    monkeypatch.setattr(jaccard.Join, "within", lambda self, placed, sizes: compared.append(sizes.selectExpr("coalesce(sum(size * strangers), 0)").first()[0]) or old_within(self, placed, sizes))
+    got = jaccard.link_documents(frame(spark, rows))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute_components(rows)))
+    pairs = [(x["a"], x["b"]) for m in measured for x in m.select("a", "b").collect()]
+    assert len(compared) >= 2 and len(pairs) == len(set(pairs))
+    assert sum(compared) < 166 * 20
