@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean
+from lodestone.operators.numbering import numbered
 
 SIZE, OVERLAP, TABLE_OVERLAP = 1200, 200, 4
 # The marks of pages and tables in extracted text.
@@ -170,3 +171,7 @@ def chunk_files(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
         index.alias("chunk_index_on_page"), "_c.char_start", "_c.char_end", "_c.chunk_type", "_c.text",
     )
 
+
+def corpus_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """chunk_files with corpus_idx, each chunk's number in their order."""
+    return numbered(chunk_files(files, size, overlap), "source_file", "page_ordinal", "chunk_index_on_page")

@@ -257,7 +257,7 @@ def chunk_table(spark, d):
 
 
 def chunk_ids(spark, d):
-    return chunking.chunk_files(_conversation_files(spark, d)).drop("page_ordinal")
+    return chunking.corpus_chunks(_conversation_files(spark, d)).drop("page_ordinal")
 
 
 def annotate_spans(spark, d):

@@ -32,11 +32,18 @@ def jsonl_round_trip(spark, d):
 
 
 def jsonl_traced(spark, d):
-    """Each row with its file and its line."""
-    path = scratch(spark, "traced")
-    S.write_jsonl(_t(spark, d, "labels"), path)
-    back = S.read_jsonl_traced(spark, path, "doc_id long, quality long, toxic long")
-    return back.select("doc_id", "quality", "toxic", F.col("_file").endswith(".json").alias("named"), F.col("_raw").startswith('{"doc_id":').alias("raw"))
+    """Each row with its file and its line, of four files that are read in splits of 64 KB."""
+    path, out, split = scratch(spark, "traced"), scratch(spark, "lines"), "spark.sql.files.maxPartitionBytes"
+    docs = _t(spark, d, "documents").withColumn("part", F.col("doc_id") % 4)
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(path)
+    before = spark.conf.get(split)
+    spark.conf.set(split, "64k")
+    try:
+        S.read_jsonl_traced(spark, f"{path}/part=*", "doc_id long, n_chars long").write.parquet(out)
+    finally:
+        spark.conf.set(split, before)
+    part = F.regexp_extract("_file", "/part=([0-9])/", 1).cast("long")
+    return spark.read.parquet(out).select("doc_id", "n_chars", part.alias("part"), F.col("_line").alias("line"), F.col("_raw").startswith('{"doc_id":').alias("raw"))
 
 
 def json_arrays(spark, d):

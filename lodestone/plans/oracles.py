@@ -213,7 +213,7 @@ w as (select conv_id, turn, text, 0 as i, 0 as s, cut(text, 0) as e from t where
 union all select conv_id, turn, text, i + 1, greatest(0, e - 200), cut(text, greatest(0, e - 200)) from w where e < length(text)),
 x as (select *, regexp_replace(substr(text, s + 1, e - s), '{_STRIP}', '', 'g') as x from w),
 n as (select *, row_number() over (partition by conv_id, turn order by i)::int as c from x where x <> '')
-select conv_id || '_p' || turn || '_c' || c as chunk_id, conv_id || '.txt' as source_file, conv_id::varchar as source_stem, turn::int as page_num, c as chunk_index_on_page, s as char_start, e as char_end, 'text' as chunk_type, x as text from n""",
+select row_number() over (order by conv_id || '.txt', turn, c) - 1 as corpus_idx, conv_id || '_p' || turn || '_c' || c as chunk_id, conv_id || '.txt' as source_file, conv_id::varchar as source_stem, turn::int as page_num, c as chunk_index_on_page, s as char_start, e as char_end, 'text' as chunk_type, x as text from n""",
         "annotate_spans": f"with {_PLACED} select doc_id, label, text, start, \"end\" from placed",
         "bio_align": f"with {_PLACED}, {_SCORED}, {aligned('true')} select doc_id, i, label from aligned",
         "pair_hybrid": f"""with {_bm25(_ASKED, 20).strip()}, {_knn(20)}, {_fused(20)}, w as (select question_id, chunk_id, rank as cr, {words('b.text')} as q, {words('d.text')} as t from fused join benchmark b on b.item_id = question_id join documents d on d.doc_id = chunk_id),
@@ -222,7 +222,7 @@ select question_id, chunk_id, round(s, 6) as score, row_number() over (partition
         "answers": f"""with c as (select conv_id, string_agg('[SOURCE ' || turn || ']' || chr(10) || 'file: ' || role || chr(10) || 'page: ' || turn || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'text:' || chr(10) || text, chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by turn) as context from ({_TURN}) group by conv_id)
 select conv_id, 'T=0.1 N=600 ' || {len(SYSTEM)} || ' ' || ({len(USER)} - length('{{context}}{{question}}') + length(context) + 2 + length('Question ' || conv_id)) as answer from c""",
         "jsonl_round_trip": "select doc_id, md5(coalesce(text, '')) as text_md5, lang, source, n_chars from documents",
-        "jsonl_traced": "select doc_id, quality, toxic, true as named, true as raw from labels",
+        "jsonl_traced": "select doc_id, n_chars, doc_id % 4 as part, row_number() over (partition by doc_id % 4 order by doc_id) as line, true as raw from documents",
         "json_arrays": "select item_id, text from benchmark",
         "pretty_summary": "select count(*) as documents, count(distinct source) as sources from documents",
         "text_folders": "select md5(x) as text_md5, length(x) as n_chars from (select string_agg(coalesce(text, ''), chr(10) order by turn) || chr(10) as x from conversations group by conv_id)",

@@ -6,11 +6,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -21,13 +20,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """_file, _line (from 1, blank lines counted) and _raw of every line of text files, however Spark splits them.
+
+    A first pass counts the lines of each split, one row a split; running sums of a file's splits give the second pass
+    the lines before each. Both passes plan the same scan, so a split's lines have the same places in both."""
+    scan = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"), F.col("value").alias("_raw"),
+    )
+    count = F.count(F.lit(1))
+    splits = scan.groupBy("_file", "_block").agg(count.alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    of = splits.select("_file", "_block", "_first", before.alias("_before"))
+    return scan.join(of, ["_file", "_block"]).select("_file", (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias("_line"), "_raw")
+
+
 def read_jsonl_traced(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with the file and the raw line, and an error naming both for a malformed line."""
-    raw = spark.read.text(path).select(F.col("value").alias("_raw"), F.col("_metadata.file_path").alias("_file")).filter(F.trim("_raw") != "")
+    """JSON lines with file, line number and raw line, and an error naming them for a malformed line."""
+    raw = numbered_lines(spark, path).filter(F.trim("_raw") != "")
     parsed = raw.withColumn("_row", F.from_json("_raw", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    message = F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.substring("_raw", 1, 200))
+    message = F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(", line "), F.col("_line"), F.lit(": "), F.substring("_raw", 1, 200))
     checked = parsed.withColumn("_row", F.when(F.col("_row._bad").isNull(), F.col("_row")).otherwise(F.raise_error(message).cast(parsed.schema["_row"].dataType)))
-    return checked.select("_row.*", "_file", "_raw").drop("_bad")
+    return checked.select("_row.*", "_file", "_line", "_raw").drop("_bad")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:

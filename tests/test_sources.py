@@ -48,13 +48,29 @@ def test_json(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n{oops\n')
     with pytest.raises(Exception):
         S.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id string").collect()
-    with pytest.raises(Exception, match="oops"):
+    with pytest.raises(Exception, match=r"bad\.jsonl, line 2: \{oops"):
         S.read_jsonl_traced(spark, str(tmp_path / "bad.jsonl"), "id string").collect()
     assert S.read_json_array(spark, str(tmp_path / "no.json"), "id string", optional=True).count() == 0
     (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
     assert S.read_json_array(spark, str(tmp_path / "a.json"), "id string").count() == 2
 
 
+@pytest.mark.parametrize("size", ["40", "700", "128m"])
+def test_numbered_lines(spark, tmp_path, size):
+    """The same numbers however files are split; blank and long lines, an empty file and one without a last line end count."""
+    files = {f"f{k}": ["", f"{k} " * 400, "x", "x", ""] * k + [f"line {i} of {k}" for i in range(60)] for k in range(5)}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    (tmp_path / "empty").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = [(r["_file"].rsplit("/", 1)[1], r["_line"], r["_raw"]) for r in S.numbered_lines(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted((name, i + 1, t) for name, lines in files.items() for i, t in enumerate(lines))
+
+
 def test_append_new(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     S.append_new(df.limit(1), str(tmp_path / "t"), "k")

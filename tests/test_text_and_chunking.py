@@ -7,6 +7,7 @@ from lodestone.functions import patterns as P
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 from lodestone.operators import entities as E
+from lodestone.operators.numbering import numbered
 
 
 def one(spark, column, text):
@@ -88,3 +89,20 @@ def test_chunk_files(spark):
     out = C.chunk_files(spark.createDataFrame(rows, "source_file string, full_text string")).orderBy("chunk_index_on_page").collect()
     assert [r["chunk_id"] for r in out] == ["НП-1_p2_c1", "НП-1_p2_c2", "НП-1_p2_c3"]
     assert [r["chunk_type"] for r in out] == ["text", "text", "table"] and out[2]["char_start"] == 0
+
+
+def test_numbered(spark):
+    """Gapless numbers in the order, nulls first; no exchange to one partition in the plan of what is returned."""
+    rows = [(f"f{i * 7 % 50}", i) for i in range(3000)] + [(None, 5000)]
+    df = spark.createDataFrame(rows, "file string, n int").repartition(7)
+    out = numbered(df, "file", "n", start=3)
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert [(r["file"], r["n"], r["corpus_idx"]) for r in out.orderBy("corpus_idx").collect()] == [(*w, i + 3) for i, w in enumerate(want)]
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    assert numbered(df.limit(0), "file", "n").count() == 0
+
+
+def test_corpus_chunks(spark):
+    files = spark.createDataFrame([("b.txt", "--- PAGE 10 ---\n" + "word " * 900), ("a.txt", "--- PAGE 2 ---\nx\n--- PAGE 1 ---\ny"), ("c.txt", None)], "source_file string, full_text string")
+    got = [(r["source_file"], r["page_ordinal"], r["chunk_index_on_page"]) for r in C.corpus_chunks(files).orderBy("corpus_idx").collect()]
+    assert got == sorted(got) and [g[0] for g in got][:3] == ["a.txt", "a.txt", "b.txt"]
