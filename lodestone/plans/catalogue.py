@@ -19,6 +19,7 @@ from lodestone.functions.patterns import GENERAL
 from lodestone.operators import annotate, cells, chunking, dense, entities, fusion, generate, latent, lexical, metrics
 from lodestone.operators.tagger import Trainer
 from lodestone.plans import files, references
+from lodestone.plans.engine import RetrievalEngine
 from lodestone.session import ready, scratch
 from lodestone.sources.pages import html_column
 
@@ -374,6 +375,43 @@ def pair_hybrid(spark, d):
     return fusion.pair_rerank(hits, OverlapScorer(), 6).select("question_id", "chunk_id", F.round("reranker_score", 6).alias("score"), F.col("final_rank").alias("rank"))
 
 
+def _ranked(spark, d):
+    """Held-out questions' candidates by a pair model that is trained on the others, their questions and relevant chunks.
+    Questions are every third word of a passage; relevant are the documents that hold the whole passage."""
+    docs, folder = chunks(spark, d), scratch(ready(spark), "ranked")
+    model = latent.fit(docs)
+    latent.vectors(docs, model).write.parquet(f"{folder}/vectors")
+    lexical.build_index(docs).write(f"{folder}/index")
+    passages = questions(spark, d)
+    relevant = _holders(passages, _t(spark, d, "documents")).groupBy("question_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant_chunk_ids"))
+    relevant.write.parquet(f"{folder}/relevant")
+    third = F.array_join(F.filter(F.split("question", r"\s+"), lambda w, i: i % 3 == 0), " ")
+    asked = passages.select("question_id", third.alias("question"), (F.pmod(F.xxhash64("question_id"), F.lit(2)) == 0).alias("held_out"))
+    index = entities.build_index(_predictions(spark, d))
+    engine = RetrievalEngine(docs, spark.read.parquet(f"{folder}/vectors"), index, model, bm25=lexical.Index.read(spark, f"{folder}/index"), pack=FLAT)
+    relevant, depth = spark.read.parquet(f"{folder}/relevant"), dict(dense_k=50, bm25_k=50, most=50)
+    engine.train_scorer(asked.filter("not held_out"), relevant, **depth)
+    held = asked.filter("held_out")
+    engine.hybrid_reranked(held, 50, **depth).write.parquet(f"{folder}/hits")
+    return held, relevant, spark.read.parquet(f"{folder}/hits")
+
+
+def pair_trained(spark, d):
+    """The best chunks of held-out questions by the trained pair model."""
+    return _ranked(spark, d)[2].filter(F.col("final_rank") <= K).select("question_id", F.col("corpus_idx").alias("doc_id"), F.round("reranker_score", 4).alias("score"), F.col("final_rank").alias("rank"))
+
+
+def pair_trained_scores(spark, d):
+    """Mean metrics of held-out questions in the fused order and in the trained model's."""
+    asked, relevant, hits = _ranked(spark, d)
+    means = None
+    for name, rank in (("hybrid", "candidate_rank"), ("hybrid_reranked", "final_rank")):
+        run = hits.select("question_id", "chunk_id", F.col(rank).alias("rank")).filter(F.col("rank") <= K)
+        own = metrics.mean(metrics.per_question(run, asked, relevant, K_VALUES, K, K)).select(F.lit(name).alias("pipeline"), "metric", F.round("value", 6).alias("value"))
+        means = own if means is None else means.unionByName(own)
+    return means
+
+
 def _said(system: str, user: str, temperature: float, most: int) -> str:
     """A stand-in chat model that tells what it was given."""
     return f"T={temperature} N={most} {len(system)} {len(user)}"
@@ -404,7 +442,7 @@ NAMES = (
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
     annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
-    html_extract, pair_rerank, pair_hybrid, answers, embed_hash, latent_topk, knn_cells,
+    html_extract, pair_rerank, pair_hybrid, pair_trained, pair_trained_scores, answers, embed_hash, latent_topk, knn_cells,
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.models import ChatClient, Embedder, EntityTagger, PairScorer, embed_column, tag_column
 from lodestone.operators import dense, entities, fusion, generate, lexical, metrics
+from lodestone.operators import ranker as pairs
 
 
 @dataclass
@@ -19,7 +20,7 @@ class RetrievalEngine:
     vectors: DataFrame
     entity_index: DataFrame
     embedder: Embedder | None = None
-    scorer: PairScorer | None = None
+    scorer: PairScorer | pairs.Ranker | None = None
     tagger: EntityTagger | None = None
     chat: ChatClient | None = None
     bm25: lexical.Index | None = None
@@ -35,12 +36,12 @@ class RetrievalEngine:
     def embedded(self, questions: DataFrame) -> DataFrame:
         return questions if "embedding" in questions.columns or not self.embedder else questions.withColumn("embedding", embed_column(self.embedder, "question"))
 
-    def candidates(self, questions: DataFrame, dense_k: int = 100, bm25_k: int = 100, rrf_k: int = 60, most: int = 100) -> DataFrame:
+    def candidates(self, questions: DataFrame, dense_k: int = 100, bm25_k: int = 100, rrf_k: int = 60, most: int = 100, scores: bool = False) -> DataFrame:
         """Fused candidates; bm25_k <= 0 leaves the lexical side out."""
         ids = self.chunks.select("corpus_idx", "chunk_id")
         near = dense.topk(self.vectors, questions, dense_k).join(ids, "corpus_idx")
         words = lexical.topk(self.bm25, questions, bm25_k).join(ids, "corpus_idx")
-        return fusion.rrf(near, words, rrf_k, most)
+        return fusion.rrf(near, words, rrf_k, most, scores)
 
     def _full(self, hits: DataFrame, pipeline: str) -> DataFrame:
         return hits.drop("corpus_idx").join(self.chunks.select("chunk_id", "corpus_idx", "source_file", "page_num", "chunk_type", "text"), "chunk_id").withColumn("retrieval_pipeline", F.lit(pipeline))
@@ -76,9 +77,24 @@ class RetrievalEngine:
         """Fused candidates by a pair model."""
         if not self.scorer:
             raise ValueError("this pipeline needs a pair scorer")
+        if isinstance(self.scorer, pairs.Ranker):
+            return self.scorer.rerank(self.described(questions, dense_k, bm25_k, rrf_k, most), k)
         found = self._full(self.candidates(self.embedded(questions), dense_k, bm25_k, rrf_k, most), "hybrid_reranked").join(questions.select("question_id", "question"), "question_id")
         return fusion.pair_rerank(found, self.scorer, k)
 
+    def described(self, questions: DataFrame, dense_k: int = 20, bm25_k: int = 20, rrf_k: int = 60, most: int = 20) -> DataFrame:
+        """Fused candidates with the features of a trained pair model."""
+        found = self._with_entities(self.candidates(self.embedded(questions), dense_k, bm25_k, rrf_k, most, True), questions)
+        common, share = entities.overlap(F.col("query_entities"), F.col("chunk_entities"))
+        full = self._full(found.withColumn("ner_overlap", common).withColumn("ner_score", share), "hybrid_reranked")
+        return pairs.features(full.join(questions.select("question_id", "question"), "question_id"), rrf_k)
+
+    def train_scorer(self, questions: DataFrame, qrels: DataFrame, dense_k: int = 20, bm25_k: int = 20, rrf_k: int = 60, most: int = 20) -> pairs.Ranker:
+        """Learns the pair model of hybrid_reranked from questions with relevant_chunk_ids."""
+        wanted = qrels.select("question_id", F.explode("relevant_chunk_ids").alias("chunk_id")).distinct().withColumn("gain", F.lit(1.0))
+        self.scorer = pairs.Trainer().fit(self.described(questions, dense_k, bm25_k, rrf_k, most).join(wanted, ["question_id", "chunk_id"], "left"))
+        return self.scorer
+
     def ask(self, question: str, k: int = 4, dense_k: int = 200, bm25_k: int = 200, candidates_k: int = 200, weight: float = 0.05) -> dict:
         """The answer of the chat model and its sources."""
         if not question or not question.strip():
