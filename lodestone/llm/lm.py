@@ -20,8 +20,9 @@ words.
 Training does not depend on how the table is partitioned: documents are dealt by a hash
 of their tokens, first a part of about ``GROUP`` tokens from which one task makes a start,
 then groups of about as many tokens, in hash order, each trained from that start in a task
-of its own. The groups' parameters are averaged by their tokens. There are at most
-``GROUPS`` of them; groups of larger corpora are larger.
+of its own. The groups' parameters are averaged by their tokens. A group has at least
+``SHARE`` tokens a parameter of the model, so the parameters that are shuffled to be
+averaged stay in proportion to the tokens, however large corpus and vocabulary are.
 
 Defined results: null and empty texts are the end alone; very long texts are one document
 and read whole; rows with a null doc_id train and are not held out; equal rows count each;
@@ -51,8 +52,8 @@ OWN, GROWTH, KINDS, DIMENSION = 4, 0.4, 64, 16
 #: Frequent words whose counts every worker holds (all own words at least); the counts of the others are joined.
 HELD = 200_000
 NOISE, BATCH, RATE, SCALE = 32, 4096, 0.05, 100 / 4096
-#: Tokens of a training group, and the most groups there are.
-GROUP, GROUPS = 1 << 21, 4096
+#: Tokens of a training group at least, and at least for each parameter of the model.
+GROUP, SHARE = 1 << 21, 2
 #: Tokens that are shuffled before they are trained on, and that are scored at once.
 BLOCK, SCORED = 1 << 17, 1 << 14
 FLUSH = 1 << 21
@@ -465,9 +466,14 @@ def _trained(dealt: DataFrame, v: Vocabulary, start: np.ndarray | None) -> np.nd
     return total / weight if weight else start
 
 
+def groups_of(tokens: int, parameters: int) -> int:
+    """How many groups train beside the first part."""
+    return max(1, round(tokens / max(GROUP, SHARE * parameters)) - 1)
+
+
 def train_model(train: DataFrame, v: Vocabulary) -> Model:
     """train: symbols. A model trained on all of them, whatever their partitions."""
-    groups = max(1, min(GROUPS, round(v.tokens / GROUP) - 1))
+    groups = groups_of(v.tokens, Model(v).flat().size)
     hashed = train.select(F.xxhash64("symbols").alias("h"), "symbols")
     # The first part is a share of the hashes; of what is left each group has as large a share.
     edge = int(min(1.0, GROUP / max(1, v.tokens)) * 2.0**20)

@@ -226,12 +226,24 @@ def test_lm(spark, monkeypatch):
 def test_lm_does_not_depend_on_partitions(spark, monkeypatch, group):
     """One partition or many give the same model, of one group of documents or of several."""
     monkeypatch.setattr(lm, "GROUP", group)
+    monkeypatch.setattr(lm, "SHARE", 0)
     r = np.random.default_rng(6)
     df = frame(spark, [(i, " ".join(f"w{min(x, 400)}" for x in r.zipf(1.3, 60))) for i in range(400)])
     one, many = ({x["doc_id"]: x["score"] for x in lm.learn_and_score(d).collect()} for d in (df.coalesce(1), df.repartition(64)))
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], abs=1e-4) for k in one)
 
 
+def test_lm_groups_keep_to_the_tokens():
+    """Groups grow with the corpus, parameters that are averaged stay below half of its tokens, and no group is far larger than it must be."""
+    before = 0
+    for tokens in (1, 10**6, 10**8, 10**10, 10**12, 2 * 10**13):
+        parameters = int(100 * lm.OWN * tokens**lm.GROWTH)
+        n = lm.groups_of(tokens, parameters)
+        assert n >= max(1, before) and (n == 1 or n * parameters <= tokens / lm.SHARE)
+        assert tokens / n <= 4 * max(lm.GROUP, lm.SHARE * parameters)
+        before = n
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(64)
     s = lm.learn_and_score(docs).filter("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
