@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import patterns as P
+from lodestone.functions.models import EntityTagger, tag_column
 from lodestone.functions.text import searchable, single_spaced, strip
 
 SPANS = "array<struct<text:string,label:string,start:int,end:int>>"
@@ -47,6 +48,16 @@ def is_informative(label: Column, text: Column) -> Column:
     return label.isin(P.INDEXED_LABELS) & (text != "") & ((label == "NORM_DOC") | (~text.isin(P.GENERIC_REFERENCES) & telling))
 
 
+def asked(question: str, pack: list[str] = P.QUERY_ENTITIES, tagger: EntityTagger | None = None) -> Column:
+    """Sorted entities of a question by patterns, and those of a tagger's documents and references where one is given (E5)."""
+    found = extract(F.col(question), pack)
+    if tagger is None:
+        return found
+    tagged = F.filter(tag_column(tagger, question), lambda e: e["label"].isin("NORM_DOC", "NORM_REF"))
+    own = F.filter(F.transform(tagged, lambda e: normal_form(e["text"])), lambda x: x != "")
+    return F.array_sort(F.array_union(found, own))
+
+
 def clean_for_index(ents: Column) -> Column:
     """Good, informative entities as distinct (label, text), sorted."""
     good = F.filter(ents, lambda e: ~is_bad(e))

@@ -79,6 +79,23 @@ def run_records(hits: DataFrame, pipeline: str, fields: list[str]) -> DataFrame:
     return hits.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(item)).alias("ranked_chunks")).select("question_id", "question", F.lit(pipeline).alias("pipeline"), "ranked_chunks")
 
 
+#: Fields of a run item and the columns of hits they come from, the first that is there and not null (M12): the score is
+#: the entity reranker's, else the fused one; a hit without a final rank has its rank.
+RUN_FIELDS = {
+    "rank": ("rank", "final_rank"), "chunk_id": ("chunk_id",), "source_file": ("source_file",), "page_num": ("page_num",), "chunk_type": ("chunk_type",), "score": ("ner_score_total", "hybrid_score"),
+    "dense_rank": ("dense_rank",), "bm25_rank": ("bm25_rank",), "hybrid_score": ("hybrid_score",), "ner_score_total": ("ner_score_total",), "final_rank": ("final_rank", "rank"),
+    "ner_score": ("ner_score",), "ner_overlap": ("ner_overlap",), "query_entities": ("query_entities",),
+}
+_KINDS = {"chunk_id": "string", "source_file": "string", "chunk_type": "string", "score": "double", "hybrid_score": "double", "ner_score_total": "double", "ner_score": "double", "ner_overlap": "array<string>", "query_entities": "array<string>"}
+
+
+def run_items(hits: DataFrame, pipeline: str) -> DataFrame:
+    """Run records whose items have every field of RUN_FIELDS, of one type for all pipelines; what hits lack is null."""
+    given = lambda names: [F.col(n) for n in names if n in hits.columns] or [F.lit(None)]
+    items = [F.coalesce(*given(names)).cast(_KINDS.get(field, "int")).alias(field) for field, names in RUN_FIELDS.items()]
+    return run_records(hits.select("question_id", "question", *items), pipeline, list(RUN_FIELDS))
+
+
 def ranked_ids(records: DataFrame) -> DataFrame:
     """question_id, rank, chunk_id of run records; items without an id are skipped."""
     ids = F.filter(F.transform("ranked_chunks", lambda x: x["chunk_id"].cast("string")), lambda x: x.isNotNull())

@@ -219,6 +219,24 @@ def run_records(spark, d):
     return records.select("question_id", "pipeline", F.array_join(F.transform("ranked_chunks", lambda x: F.concat_ws(":", x["rank"], x["chunk_id"])), "|").alias("ranked"))
 
 
+def run_items(spark, d):
+    """Every field of the items of two runs, the fused one and its entity-reranked form (M12); what is null is -1 or ''."""
+    found, asked = _fused(spark, d, 100), questions(spark, d)
+    own = chunks(spark, d).select(F.col("corpus_idx").alias("chunk_id"), "source_file", "page_num", "chunk_type")
+    full = lambda hits: hits.join(asked, "question_id").join(own, "chunk_id", "left")
+    plain = metrics.run_items(full(found.filter(F.col("candidate_rank") <= K).withColumn("rank", F.col("candidate_rank"))), "hybrid")
+    better = metrics.run_items(full(entities.rerank(_marked(spark, d, found), K, 0.05, "hybrid_score")), "hybrid_entities")
+    rows = plain.unionByName(better).select("question_id", F.md5("question").alias("question_md5"), "pipeline", F.explode("ranked_chunks").alias("x")).select("question_id", "question_md5", "pipeline", "x.*")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c)
+    real = lambda c: F.round(F.coalesce(F.col(c), F.lit(-1.0)), 9).alias(c)
+    word = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
+    return rows.select(
+        "question_id", "question_md5", "pipeline", "rank", "chunk_id", word("source_file"), whole("page_num"), word("chunk_type"), real("score"), whole("dense_rank"), whole("bm25_rank"),
+        real("hybrid_score"), real("ner_score_total"), "final_rank", real("ner_score"), joined("ner_overlap"), joined("query_entities"),
+    )
+
+
 def chunk_text(spark, d):
     w = chunking.text_windows()
     return _t(spark, d, "documents").select("doc_id", F.posexplode(w("text")).alias("i", "c")).select("doc_id", "i", "c.char_start", "c.char_end", "c.text")
@@ -439,7 +457,7 @@ def latent_topk(spark, d):
 
 NAMES = (
     text_clean, tokenize, bm25_index_stats, bm25_topk, knn_topk, rrf_hybrid, hybrid_single_side, entity_extract, entity_normalize, entity_clean, entity_index,
-    entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, chunk_text,
+    entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, run_items, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
     annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
     html_extract, pair_rerank, pair_hybrid, pair_trained, pair_trained_scores, answers, embed_hash, latent_topk, knn_cells,

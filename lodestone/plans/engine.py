@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.models import ChatClient, Embedder, EntityTagger, PairScorer, embed_column, tag_column
+from lodestone.functions.models import ChatClient, Embedder, EntityTagger, PairScorer, embed_column
 from lodestone.operators import dense, entities, fusion, generate, lexical, metrics
 from lodestone.operators import ranker as pairs
 
@@ -47,10 +47,7 @@ class RetrievalEngine:
         return hits.drop("corpus_idx").join(self.chunks.select("chunk_id", "corpus_idx", "source_file", "page_num", "chunk_type", "text"), "chunk_id").withColumn("retrieval_pipeline", F.lit(pipeline))
 
     def _with_entities(self, hits: DataFrame, questions: DataFrame, use_model: bool = False) -> DataFrame:
-        asked = entities.extract(F.col("question"), self.pack)
-        if use_model and self.tagger:
-            tagged = F.filter(tag_column(self.tagger, "question"), lambda e: e["label"].isin("NORM_DOC", "NORM_REF"))
-            asked = F.array_sort(F.array_union(asked, F.transform(tagged, lambda e: entities.normal_form(e["text"]))))
+        asked = entities.asked("question", self.pack, self.tagger if use_model else None)
         return entities.chunk_entities(hits, self.entity_index).join(questions.select("question_id", asked.alias("query_entities")), "question_id")
 
     def dense(self, questions: DataFrame, k: int = 10) -> DataFrame:
@@ -120,7 +117,7 @@ class RetrievalEngine:
         rows, runs = None, None
         for name, hits in names.items():
             full = self._full(hits.withColumn("rank", F.col("final_rank")), name).join(questions.select("question_id", "question"), "question_id")
-            record = metrics.run_records(full, name, ["rank", "chunk_id", "source_file", "page_num", "chunk_type", "final_rank"])
+            record = metrics.run_items(full, name)
             own = metrics.per_question(hits.select("question_id", "chunk_id", F.col("final_rank").alias("rank")), questions, qrels, ks, k, k).withColumn("pipeline", F.lit(name))
             runs = record if runs is None else runs.unionByName(record)
             rows = own if rows is None else rows.unionByName(own)

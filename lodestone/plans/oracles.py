@@ -181,6 +181,13 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"round(max(value) filter (where metric = '{n}'), 6) as \"{n.replace('@', '_at_')}\"" for n in _NAMES)
         + " from (select 'dense' as p, * from g1 union all select 'dense_entities' as p, * from g2) group by p",
         "run_records": f"with {_bm25(_ASKED, 10).strip()} select question_id, 'bm25' as pipeline, string_agg(rank || ':' || doc_id, '|' order by rank) as ranked from bm group by question_id",
+        "run_items": f"""with {_bm25(_ASKED, 100).strip()}, {_knn(100)}, {_fused(100)}, {_E}, cand as (select question_id, chunk_id, h, rank as cr from fused), {_reranked('cand', 'h', 0.05, 'cr')},
+both_ as (select question_id, 'hybrid' as pipeline, rank, chunk_id, h as score, dense_rank, bm25_rank, h as hybrid_score, -1 as total, -1 as ns, [] as o, []::varchar[] as q from fused where rank <= 10
+union all select r.question_id, 'hybrid_entities', r.rank, r.chunk_id, r.score, f.dense_rank, f.bm25_rank, f.h, r.score, r.ns, list_sort(list_intersect(coalesce(q.e, []), coalesce(c.e, []))), coalesce(q.e, [])
+from rr r join fused f using (question_id, chunk_id) left join ents q on q.doc_id = r.question_id * 100 left join ents c on c.doc_id = r.chunk_id)
+select question_id, md5(b.text) as question_md5, pipeline, rank::int as rank, chunk_id::varchar as chunk_id, coalesce(d.source, '') as source_file, case when d.doc_id is null then -1 else 1 end as page_num, case when d.doc_id is null then '' else 'text' end as chunk_type,
+round(score, 9) as score, coalesce(dense_rank, -1)::int as dense_rank, coalesce(bm25_rank, -1)::int as bm25_rank, round(hybrid_score, 9) as hybrid_score, round(total, 9) as ner_score_total, rank::int as final_rank, round(ns, 9) as ner_score, array_to_string(o, '|') as ner_overlap, array_to_string(q, '|') as query_entities
+from both_ join benchmark b on b.item_id = question_id left join documents d on d.doc_id = chunk_id""",
         "chunk_text": f"""with recursive t as (select doc_id, {_clean('text')} as text from documents),
 w as (select doc_id, text, 0 as i, 0 as s, cut(text, 0) as e from t where text <> ''
 union all select doc_id, text, i + 1, greatest(0, e - 200), cut(text, greatest(0, e - 200)) from w where e < length(text))

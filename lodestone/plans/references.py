@@ -75,6 +75,12 @@ def tagged_predictions(spark, d):
     return found.select(F.col("id").cast("long").alias("doc_id"), _spans("predicted_entities").alias("spans"), F.aggregate("predicted_entities", F.lit(0.0), lambda a, e: a + e["score"]).alias("score"))
 
 
+def model_entities(spark, d):
+    """E5: entities of questions by patterns together with those of a tagger, in one spelling."""
+    made = _before(ANNOTATED + "глава {c}.5; ")
+    return _t(spark, d, "documents").select("doc_id", made.alias("question")).select("doc_id", F.array_join(entities.asked("question", tagger=RuleTagger()), "|").alias("entities"))
+
+
 def predicted_index(spark, d):
     """E13-E15 on predictions: the entities by which chunks are ranked."""
     index = entities.build_index(annotate.predictions(_annotated(spark, d), RuleTagger()))
@@ -148,7 +154,7 @@ def run_ids(spark, d):
 
 
 NAMES = (
-    question_entities, reference_forms, chunk_entity_sets, tagged_predictions, predicted_index, annotation_spans, first_scores, uninformative_entities, span_bounds, token_sentinel,
+    question_entities, model_entities, reference_forms, chunk_entity_sets, tagged_predictions, predicted_index, annotation_spans, first_scores, uninformative_entities, span_bounds, token_sentinel,
     bm25_odd_questions, question_rows, relevance_rows, run_ids,
 )
 
@@ -178,6 +184,7 @@ def oracle_sql(tokens: Callable[[str], str], bm25: Callable[[str, int], str]) ->
     made = f"case doc_id % 5 when 0 then '' when 1 then '— ;' else {_sql('Ёмкость СП {a}.5, т.к. ')} || coalesce(text, '') end"
     return {
         "question_entities": f"select doc_id, {_sql('п. {c}.2|сп {a}.13130-2009|таблица {b}')} as entities from documents",
+        "model_entities": f"select doc_id, {_sql('глава {c}.5|гост {b}|пп. {c}, 2|снип {a}.04')} as entities from documents",
         "reference_forms": f"select doc_id, {_pick([_sql(x[1]) for x in FORMS])} as asked, {_pick([_sql(x[2]) for x in FORMS])} as indexed from documents",
         "chunk_entity_sets": f"select 'c' || doc_id as chunk_id, case when doc_id % 5 = 0 then '' else {_sql('п. {a}|сп {a}|таблица {b}')} end as entities from documents",
         "tagged_predictions": f"select doc_id, {spans} as spans, 3.0::double as score from documents",
