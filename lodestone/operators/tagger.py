@@ -124,6 +124,10 @@ class LinearTagger:
                 for a, b, label in spans(chosen, self.labels):
                     if (lo == 0 or a >= edge) and (hi == n or a < hi - lo - (self.stride - edge)):
                         start, end = tokens[lo + a][1], tokens[lo + b - 1][2]
+                        # Subword pieces hold the space before a word; an entity doesn't begin with it.
+                        start = min(end, start + len(text[start:end]) - len(text[start:end].lstrip()))
+                        if start == end:
+                            continue
                         own.append({"text": text[start:end], "label": label, "start": start, "end": end, "score": float(sure[a:b].mean())})
                 if hi == n:
                     break

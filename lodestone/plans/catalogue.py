@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.models import HashEmbedder, OverlapScorer, embed_column, tag_column
 from lodestone.functions.patterns import GENERAL
+from lodestone.functions.subword import SubwordTokenizer
 from lodestone.operators import annotate, cells, chunking, dense, entities, fusion, generate, latent, lexical, metrics
 from lodestone.operators.tagger import Trainer
 from lodestone.plans import files, references
@@ -321,6 +322,15 @@ def bio_align(spark, d):
     return rows.select(F.col("id").cast("long").alias("doc_id"), F.posexplode("labels").alias("i", "label"))
 
 
+def bio_align_subword(spark, d):
+    """Labels of the pieces of a byte-level vocabulary."""
+    import public_tokenizers
+
+    pieces = SubwordTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = annotate.align(annotate.candidates(chunks(spark, d), None, PACK), pieces, 1 << 20)
+    return rows.select(F.col("id").cast("long").alias("doc_id"), F.posexplode(F.arrays_zip("input_ids", "labels")).alias("i", "x")).select("doc_id", "i", "x.input_ids", "x.labels").toDF("doc_id", "i", "token_id", "label")
+
+
 def label_vocabulary(spark, d):
     """Every label with its number and how many tokens of the aligned records have it."""
     given = bio_align(spark, d).groupBy(F.col("label").alias("label_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -459,7 +469,7 @@ NAMES = (
     text_clean, tokenize, bm25_index_stats, bm25_topk, knn_topk, rrf_hybrid, hybrid_single_side, entity_extract, entity_normalize, entity_clean, entity_index,
     entity_overlap_score, knn_entity_rerank, hybrid_entity_rerank, metrics_per_question, metrics_mean, metrics_delta, metrics_wide, run_records, run_items, chunk_text,
     page_split, paragraph_split, semantic_blocks, chunk_table, chunk_ids, annotate_spans, overlap_removal, annotate_score, annotate_topk, export_incremental,
-    annotate_counters, finalize_entities, train_dev_split, bio_align, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
+    annotate_counters, finalize_entities, train_dev_split, bio_align, bio_align_subword, label_vocabulary, span_scores, tagger_predictions, tagger_scores, format_context, source_list, hit_preview, select_records,
     html_extract, pair_rerank, pair_hybrid, pair_trained, pair_trained_scores, answers, embed_hash, latent_topk, knn_cells,
 )
 
