@@ -1,6 +1,7 @@
 """The trained tagger: decoding against all labellings, windows against whole texts, training against held-out records."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -25,6 +26,34 @@ def test_viterbi_is_the_best_labelling():
     assert not len(tagger.viterbi(np.zeros((0, 5)), transition, first))
 
 
+def test_texts_are_decoded_side_by_side():
+    r = np.random.default_rng(1)
+    follows, first = tagger.rules(BIO_LABELS)
+    emissions = [r.integers(-2, 3, (n, len(BIO_LABELS))).astype(float) for n in (3, 0, 7, 1, 7, 40)]
+    transitions = [r.integers(-2, 3, follows.shape) + follows for _ in emissions]
+    for given in (transitions[0], np.array(transitions)):
+        each = transitions if given.ndim == 3 else [given] * len(emissions)
+        assert [x.tolist() for x in tagger.viterbi_all(emissions, given, first)] == [tagger.viterbi(e, t, first).tolist() for e, t in zip(emissions, each)]
+
+
+def test_features_are_those_of_their_strings(monkeypatch):
+    text = "В п. 12.3 и  ООООО-12345,a@b.c; (Licensed under MIT) v1.0 ЁЖ"
+    tokens = [t for t in annotate.words_tokenizer(text) if t[1] < t[2]]
+    word, form = ["", "", *(t[0].lower() for t in tokens), "", ""], ["", "", *(tagger.shape(t[0]) for t in tokens), "", ""]
+    glued = [False, *(a[2] == b[1] for a, b in zip(tokens, tokens[1:])), False]
+    want = []
+    for i in range(len(tokens)):
+        b, a, k = "~" if glued[i] else " ", "~" if glued[i + 1] else " ", i + 2
+        own = ["", f"w{word[k]}", f"p{word[k][:3]}", f"e{word[k][-3:]}", f"s{form[k]}", f"s{b}{form[k]}{a}", f"l{b}{form[k - 1]}", f"r{a}{form[k + 1]}", f"L{b}{word[k - 1]}", f"R{a}{word[k + 1]}"]
+        own += [f"b{form[k - 2]}{b}{form[k - 1]} {form[k]}", f"a{form[k]} {form[k + 1]}{a}{form[k + 2]}", f"c{form[k - 1]}{b}{form[k]}{a}{form[k + 1]}", f"v{word[k - 1]}{b}{word[k]}"]
+        want.append([zlib.crc32(f"{j}{x}".encode()) % tagger.FEATURES for j, x in enumerate(own)])
+    # Also after the tables of a worker were begun anew.
+    for most in (tagger.MEMO, 1):
+        monkeypatch.setattr(tagger, "MEMO", most)
+        assert tagger.features(tokens).tolist() == want == tagger.features(tokens).tolist()
+    assert tagger.features([]).shape == (0, 14)
+
+
 def test_spans_of_a_labelling():
     labels = ["O", "B-X", "I-X", "B-Y", "I-Y"]
     assert list(tagger.spans(np.array([1, 2, 2, 1, 0, 3, 4, 1]), labels)) == [(0, 3, "X"), (3, 4, "X"), (5, 7, "Y"), (7, 8, "X")]
