@@ -135,3 +135,16 @@ def test_queries(spark):
     gold = {(str(r["doc_id"]), r["label"], r["start"], r["end"]) for r in catalogue.annotate_spans(spark, d).collect() if str(r["doc_id"]) in dev}
     told = {(str(r["doc_id"]), r["label"], r["start"], r["end"]) for r in rows if str(r["doc_id"]) in dev}
     assert told & gold and scores["precision"] > 0.8 and scores["f1"] > 0.6 and len(told & gold) <= scores["recall"] * len(gold) + 1e-3
+
+
+def test_alignment_passes_on_some_tokens_at_a_time(spark, sf):
+    """Whole batches of texts as tokens would grow a worker with its input; rows are the same however few go on at a time."""
+    given = annotate.candidates(catalogue.chunks(spark, sf), None, catalogue.PACK)
+    want = {r["id"]: r.asDict() for r in annotate.align(given, most=1 << 20).collect()}
+    assert "MapInArrow" in annotate.align(given)._jdf.queryExecution().executedPlan().toString()
+    assert want and all(len(r["tokens"]) == len(r["labels"]) == len(r["input_ids"]) == len(r["attention_mask"]) for r in want.values())
+    for r in given.collect():
+        found = annotate.words_tokenizer(r["text"])
+        spans = sorted((e["start"], e["end"], e["label"]) for e in r["entities"])
+        assert want[r["id"]]["tokens"] == [x[0] for x in found]
+        assert want[r["id"]]["labels"] == annotate.bio(found, spans, {x: i for i, x in enumerate(BIO_LABELS)})
