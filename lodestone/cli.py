@@ -48,10 +48,10 @@ def engine(spark, args, **models) -> RetrievalEngine:
 def embed(spark, args) -> None:
     from lodestone.operators import latent
 
-    chunks = spark.read.parquet(args.chunks)
-    model = latent.fit(chunks)
+    counted = latent.counted(spark.read.parquet(args.chunks).select("corpus_idx", "text"))
+    model = latent.fit(counted)
     model.write(spark, args.model)
-    latent.vectors(chunks, model).write.mode("overwrite").parquet(args.vectors)
+    latent.vectors(counted, model).write.mode("overwrite").parquet(args.vectors)
 
 
 def ask(e: RetrievalEngine, args) -> None:

@@ -51,6 +51,27 @@ def test_directions_are_the_leading_singular_vectors(spark, texts):
         assert not got[240:243].any()
 
 
+def test_texts_are_read_and_counted_once(spark, texts):
+    """However many passes there are; vectors of counted rows are those of their texts."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = frame(spark, texts)
+    counted = latent.counted(docs.mapInArrow(seen, docs.schema))
+    model = latent.fit(counted, dimension=4)
+    got = {r["corpus_idx"]: r["embedding"] for r in latent.vectors(counted, model).collect()}
+    assert read.value == len(texts)
+    want = {r["corpus_idx"]: r["embedding"] for r in latent.vectors(docs, model).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+    read.add(-read.value)
+    again = latent.fit(docs.mapInArrow(seen, docs.schema), dimension=4)
+    assert read.value == len(texts) and np.allclose(again.idf, model.idf)
+
+
 def test_low_rank_and_no_rows(spark):
     model = latent.fit(frame(spark, ["a b", "a b", "c"]), dimension=5)
     assert np.allclose(np.linalg.norm(model.directions, axis=0), [1, 1, 0, 0, 0])
