@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
 from lodestone.functions.models import embed_column
 from lodestone.functions.text import NBSP, TOKEN
@@ -32,6 +32,8 @@ from lodestone.session import scratch
 FEATURES, DIMENSION, SPARE, PASSES = 1 << 15, 64, 16, 3
 #: Columns of one block of sums, and texts that are counted together.
 BLOCK, TEXTS = 1024, 256
+#: A text's columns and counts as bytes: whole numbers would go to Python and back one by one.
+_COLUMN, _TIMES = np.dtype("<u2"), np.dtype("<u4")
 _token = re.compile(TOKEN).findall
 
 
@@ -106,11 +108,11 @@ def counted(texts: DataFrame, text: str = "text") -> DataFrame:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
                 size, column, times = _counted(part.column(len(kept)).to_pylist())
-                starts = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                made = [pa.ListArray.from_arrays(starts, pa.array(x, pa.int32())) for x in (column, times)]
+                ends = np.cumsum(size)
+                made = [pa.array([x[e - n : e].tobytes() for n, e in zip(size, ends)], pa.binary()) for x in (column.astype(_COLUMN), times.astype(_TIMES))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [*kept, "_columns", "_times"])
 
-    schema = StructType([*[texts.schema[c] for c in kept], *[StructField(c, ArrayType(IntegerType(), False)) for c in ("_columns", "_times")]])
+    schema = StructType([*[texts.schema[c] for c in kept], *[StructField(c, BinaryType()) for c in ("_columns", "_times")]])
     folder = scratch(texts.sparkSession, "counted")
     texts.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema).write.parquet(folder)
     return texts.sparkSession.read.schema(schema).parquet(folder)
@@ -118,9 +120,9 @@ def counted(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The last two columns of a batch as Rows takes them."""
-    columns, times = batch.columns[-2:]
-    size = np.diff(columns.offsets.to_numpy())
-    return size.astype(np.int64), columns.flatten().to_numpy(zero_copy_only=False).astype(np.int64), times.flatten().to_numpy(zero_copy_only=False)
+    columns, times = ([x or b"" for x in c.to_pylist()] for c in batch.columns[-2:])
+    size = np.array([len(x) for x in columns], np.int64) // _COLUMN.itemsize
+    return size, np.frombuffer(b"".join(columns), _COLUMN).astype(np.int64), np.frombuffer(b"".join(times), _TIMES)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

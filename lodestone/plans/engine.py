@@ -88,8 +88,12 @@ class RetrievalEngine:
 
     def train_scorer(self, questions: DataFrame, qrels: DataFrame, dense_k: int = 20, bm25_k: int = 20, rrf_k: int = 60, most: int = 20) -> pairs.Ranker:
         """Learns the pair model of hybrid_reranked from questions with relevant_chunk_ids."""
+        return self.learn(self.described(questions, dense_k, bm25_k, rrf_k, most), qrels)
+
+    def learn(self, described: DataFrame, qrels: DataFrame) -> pairs.Ranker:
+        """train_scorer from candidates that are there already."""
         wanted = qrels.select("question_id", F.explode("relevant_chunk_ids").alias("chunk_id")).distinct().withColumn("gain", F.lit(1.0))
-        self.scorer = pairs.Trainer().fit(self.described(questions, dense_k, bm25_k, rrf_k, most).join(wanted, ["question_id", "chunk_id"], "left"))
+        self.scorer = pairs.Trainer().fit(described.join(wanted, ["question_id", "chunk_id"], "left"))
         return self.scorer
 
     def ask(self, question: str, k: int = 4, dense_k: int = 200, bm25_k: int = 200, candidates_k: int = 200, weight: float = 0.05) -> dict:

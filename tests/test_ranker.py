@@ -119,3 +119,14 @@ def test_hits_of_held_out_questions(spark, sf):
         by.setdefault(r["question_id"], []).append((r["rank"], r["score"]))
     assert by and all([k for k, _ in sorted(v)] == list(range(1, len(v) + 1)) and len(v) <= 10 for v in by.values())
     assert all(sorted(v) == sorted(v, key=lambda x: -x[1]) for v in by.values())
+
+
+def test_candidates_of_all_questions_are_found_once(spark, monkeypatch):
+    """Training and asking read the same candidates; the chunks are split, searched and tagged once."""
+    from lodestone.plans import engine
+
+    calls = []
+    for module in (engine.lexical, engine.dense):
+        monkeypatch.setattr(module, "topk", lambda *a, f=module.topk, n=module.__name__, **b: calls.append(n) or f(*a, **b))
+    assert catalogue.pair_trained(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(calls) == ["lodestone.operators.dense", "lodestone.operators.lexical"]

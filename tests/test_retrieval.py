@@ -172,3 +172,19 @@ def test_texts_meet_all_questions_without_a_shuffle_of_pairs(spark, sf, tmp_path
     assert rows(lexical.topk(index, asked, 7, block=3)) == want == rows(lexical.topk(lexical.Index.read(spark, str(tmp_path / "index")), asked, 7))
     bare = lexical.Index(index.postings, index.terms, index.stats, index.docs)
     assert rows(lexical.topk(bare, asked, 7)) == want
+
+
+def test_a_written_index_splits_its_texts_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (3, ""), (4, "two three")], "corpus_idx long, text string")
+    got = lexical.write_index(docs.mapInArrow(seen, docs.schema), str(tmp_path / "index"))
+    assert read.value == 4
+    want = lexical.build_index(docs)
+    for a, b in ((got.terms, want.terms), (got.stats, want.stats), (got.postings.select("corpus_idx", "term", "tf", "dl"), want.postings.select("corpus_idx", "term", "tf", "dl"))):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
