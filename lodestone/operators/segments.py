@@ -14,11 +14,12 @@ text has the sentinel token.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators.lexical import EPSILON, Index, weighted
+from lodestone.session import scratch
 
 DOCS = "corpus_idx long, dl long, deleted boolean, segment long"
 POSTINGS = "term string, corpus_idx long, tf long, dl long, segment long"
@@ -37,12 +38,28 @@ def write_segment(texts: DataFrame, path: str, segment: int) -> None:
     docs = split.groupBy("corpus_idx").agg(F.coalesce(length, F.lit(0)).cast("long").alias("dl"), (F.count("_t") == 0).alias("deleted"))
     _write(docs, f"{path}/docs", segment)
     own = lambda schema, table: spark.read.schema(schema).parquet(f"{path}/{table}").filter(F.col("segment") == segment)
-    counted = split.select("corpus_idx", F.explode("_t").alias("term")).groupBy("corpus_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = own(DOCS, "docs").select("corpus_idx", "dl")
-    _write(counted.join(lengths, "corpus_idx").select("term", "corpus_idx", "tf", "dl").repartitionByRange("term", "corpus_idx").sortWithinPartitions("term", "corpus_idx"), f"{path}/postings", segment)
+    # A text is counted where it is read; only texts of a repeated id meet, and that table's size is known once it is written.
+    folder = scratch(spark, "repeated")
+    often = texts.groupBy("corpus_idx").agg(F.count(F.lit(1)).alias("n")).filter("corpus_idx is not null and n > 1").select("corpus_idx")
+    own(DOCS, "docs").join(often, "corpus_idx").select("corpus_idx", "dl").write.parquet(folder)
+    repeated = spark.read.schema("corpus_idx long, dl long").parquet(folder)
+    given = texts.filter("corpus_idx is not null and text is not null").select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "text")
+    alone = given.join(repeated, "corpus_idx", "left_anti").select("corpus_idx", tokens("text").alias("_t"))
+    single = alone.select("corpus_idx", F.size("_t").cast("long").alias("dl"), F.explode(_counts("_t")).alias("_c")).select(F.col("_c.term").alias("term"), "corpus_idx", F.col("_c.tf").alias("tf"), "dl")
+    met = given.join(repeated, "corpus_idx").select("corpus_idx", "dl", F.explode(tokens("text")).alias("term")).groupBy("term", "corpus_idx", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    counted = single.unionByName(met)
+    _write(counted.repartitionByRange("term", "corpus_idx").sortWithinPartitions("term", "corpus_idx"), f"{path}/postings", segment)
     _write(own(POSTINGS, "postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms", segment)
 
 
+def _counts(words: str) -> Column:
+    """(term, tf) of each distinct word of an array: where runs of equal words begin once they are in order."""
+    bound = lambda c, f: F.flatten(F.transform(F.array(c), f))  # noqa: E731  # bound through a one-element array, so it is made once
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    count = lambda s, b: F.transform(b, lambda at, i: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, i + 1), F.size(s)) - at).cast("long").alias("tf")))
+    return bound(F.array_sort(words), lambda s: bound(begins(s), lambda b: count(s, b)))
+
+
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in (("docs", DOCS), ("postings", POSTINGS), ("terms", TERMS)))
 
@@ -57,7 +74,10 @@ def read(spark: SparkSession, path: str, epsilon: float = EPSILON) -> Index:
     """The index of the texts as they are now, as lexical.build_index would build it in one go."""
     docs, postings, terms = _tables(spark, path)
     newest = docs.groupBy("corpus_idx").agg(F.max("segment").alias("newest"), F.max_by("deleted", "segment").alias("gone"))
-    marked = docs.join(newest, "corpus_idx").filter("segment < newest or gone").select("corpus_idx", "segment")
+    # Marks are few as a rule; written, their size is known and postings stay where they are.
+    folder = scratch(spark, "marked")
+    docs.join(newest, "corpus_idx").filter("segment < newest or gone").select("corpus_idx", "segment").write.parquet(folder)
+    marked = spark.read.schema("corpus_idx long, segment long").parquet(folder)
     live = docs.join(newest, "corpus_idx").filter("segment = newest and not gone").select("corpus_idx", "dl")
     kept = postings.join(marked, ["corpus_idx", "segment"], "left_anti").drop("segment")
     lost = postings.join(marked, ["corpus_idx", "segment"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))

@@ -113,3 +113,24 @@ def test_command_lines(spark, sf, tmp_path):
     config.write_text(json.dumps({"documents": "x", "colour": 1}))
     run = subprocess.run([sys.executable, "-m", "jobs.tagger_corpus", "--config", str(config)], capture_output=True, text=True, timeout=60)
     assert run.returncode and "colour" in run.stderr
+
+
+def test_a_segment_moves_each_posting_once(spark, tmp_path):
+    """Texts are counted where they are read; only those of a repeated id meet."""
+    words = lambda i: " ".join(f"w{(7 * i + j) % 90}" for j in range(60)) + " w1 w1"
+    texts = spark.createDataFrame([(i, words(i)) for i in range(200)] + [(5, "again w1"), (6, None), (300, None), (301, ""), (None, "x")], "corpus_idx long, text string").repartition(4).persist()
+    texts.count()
+    store, java = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(java(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java())
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    segments.write_segment(texts, str(tmp_path / "index"), 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = sum(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in before)
+    postings = {(r["term"], r["corpus_idx"]): (r["tf"], r["dl"]) for r in segments.read(spark, str(tmp_path / "index")).postings.collect()}
+    want = {}
+    for i in range(200):
+        own = (words(i) + (" again w1" if i == 5 else "")).split()
+        want |= {(w, i): (own.count(w), len(own)) for w in own}
+    assert postings == want | {("__empty__", 301): (1, 1)}
+    assert moved < 1.5 * len(postings) + 2000
+    texts.unpersist()
