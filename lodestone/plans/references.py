@@ -7,6 +7,7 @@ whole text, so that SQL can say from the numbers what must come out. ``oracle_sq
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from lodestone.session import ready
 #: What stands before a document's text; {a}, {b}, {c} are doc_id, n_chars and doc_id % 9.
 ASKED = "По СП {a}.13130-2009 и табл. {b}, п. {c}.2; "
 ANNOTATED = "СНиП {a}.04 и ГОСТ {b}, пп. {c}, 2; "
+#: What a document asks besides, so that questions hold the references of every pattern, none, no characters and no text.
+ASKED_TOO = ["СТО {a} {b}–01 пункта {c} главы {b}, разделе {c}.1", None, "", "НП-{b}-15, ПУЭ или пуэ", "Таблице А{b} и таблицу А{b}", "кабель {a}"]
 #: Spellings of one reference by doc_id % 6, in the question's form and in the index's.
 FORMS = [("Табл.  {a}", "таблица {a}", "таблица {a}"), ("пункте {a} . 2", "п. {a}.2", "пункте {a}.2"), ("Рис. {a} — {b}", "рисунок {a}-{b}", "рисунок {a} — {b}"), ("Ёлка {a} - Ель", "елка {a}-ель", "елка {a}-ель"), ("пп. {a},  2", "пп. {a}, 2", "пп. {a}, 2"), ("главы  {a}", "глава {a}", "главы {a}")]
 #: Entities by doc_id % 8, and whether an index keeps them.
@@ -46,8 +49,10 @@ def _spans(c: str):
 
 
 def question_entities(spark, d):
-    """Entities of questions about rules, folded to one spelling."""
-    return _t(spark, d, "documents").select("doc_id", F.array_join(entities.extract(_before(ASKED)), "|").alias("entities"))
+    """Entities of every document's questions about rules, folded to one spelling; its whole text is in the first."""
+    asked = F.array(_before(ASKED), *[F.lit(None).cast("string") if x is None else _filled(x) for x in ASKED_TOO])
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(asked).alias("i", "asked"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("question"), F.coalesce(F.array_join(entities.extract(F.col("asked")), "|"), F.lit("")).alias("entities"))
 
 
 def reference_forms(spark, d):
@@ -175,6 +180,26 @@ def _pick(forms: list[str]) -> str:
     return f"case doc_id % {len(forms)} " + " ".join(f"when {k} then {x}" for k, x in enumerate(forms)) + " end"
 
 
+def _question_entities() -> str:
+    """Words are put between chr(1) and chr(2), as SQL's patterns know no bounds of Cyrillic words."""
+    space, word = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+    # In patterns: < and > are the bounds, _ is a white space, # a number, ## a number of parts.
+    signs = {"<": r"\x01", ">": r"\x02", "_": space, "##": r"\p{Nd}+(?:\x02\.\x01\p{Nd}+)*", "#": r"\p{Nd}+"}
+    pack = [
+        "<СП>_+<##(?:>-<#)?>", "<НП(?:>(?:-|_)<)?#>[-–—]<#>", "<СТО>_+<#>_+<#>[-–—]<#>", "<ПУЭ>", "<глав[аеуы]>_+<##>",
+        "<раздел[ае]?>_+<##>", r"<п>\._*<##>", "<пункт[ае]?>_+<##>", r"<табл>\._*<[А-ЯA-Z]?##>", "<таблиц[аеуы]>_+<[А-ЯA-Z]?##>",
+    ]
+    found = ", ".join(f"regexp_extract_all(m, '(?i){reduce(lambda p, x: p.replace(*x), signs.items(), p)}')" for p in pack)
+    form = "translate(lower(x), 'ё' || chr(160) || chr(1) || chr(2), 'е ')"
+    for p, by in ((r"^(табл\._*|таблиц[аеуы]_+)", "таблица "), (r"^(пункт[ае]?_+|п\._*)", "п. "), ("^глав[аеуы]_+", "глава "), ("^раздел[ае]?_+", "раздел "), ("[-–—]", "-"), ("_+", " ")):
+        form = f"regexp_replace({form}, '{p.replace('_', space)}', '{by}', 'g')"
+    asked = ", ".join([f"{_sql(ASKED)} || coalesce(text, '')", *["null" if x is None else _sql(x) for x in ASKED_TOO]])
+    return f"""with asked as (select doc_id, unnest(range(1, {len(ASKED_TOO) + 2})) as question, unnest([{asked}]) as q from documents),
+marked as (select doc_id, question, regexp_replace(translate(q, chr(1) || chr(2), '!!'), '({word}+)', chr(1) || '\\1' || chr(2), 'g') as m from asked),
+found as (select doc_id, question, flatten([{found}]) as e from marked)
+select doc_id, question, coalesce(array_to_string(list_sort(list_distinct(list_transform(e, lambda x: {form}))), '|'), '') as entities from found"""
+
+
 def oracle_sql(tokens: Callable[[str], str], bm25: Callable[[str, int], str]) -> dict[str, str]:
     """tokens: the SQL of a text's tokens; bm25: CTEs up to bm(question_id, doc_id, s, rank) for a query that gives the questions."""
     first, second, third = (_sql(x) for x in ("СНиП {a}.04", "ГОСТ {b}", "пп. {c}, 2"))
@@ -183,7 +208,7 @@ def oracle_sql(tokens: Callable[[str], str], bm25: Callable[[str, int], str]) ->
     spans = f"{place('NORM_DOC', first, '0')} || '|' || {place('NORM_DOC', second, second_at)} || '|' || {place('NORM_REF', third, third_at)}"
     made = f"case doc_id % 5 when 0 then '' when 1 then '— ;' else {_sql('Ёмкость СП {a}.5, т.к. ')} || coalesce(text, '') end"
     return {
-        "question_entities": f"select doc_id, {_sql('п. {c}.2|сп {a}.13130-2009|таблица {b}')} as entities from documents",
+        "question_entities": _question_entities(),
         "model_entities": f"select doc_id, {_sql('глава {c}.5|гост {b}|пп. {c}, 2|снип {a}.04')} as entities from documents",
         "reference_forms": f"select doc_id, {_pick([_sql(x[1]) for x in FORMS])} as asked, {_pick([_sql(x[2]) for x in FORMS])} as indexed from documents",
         "chunk_entity_sets": f"select 'c' || doc_id as chunk_id, case when doc_id % 5 = 0 then '' else {_sql('п. {a}|сп {a}|таблица {b}')} end as entities from documents",

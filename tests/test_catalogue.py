@@ -93,3 +93,26 @@ def test_html_extract(spark, sf):
 def test_embed_hash(spark, sf):
     got = {r["question_id"]: (r["n"], r["norm"]) for r in catalogue.embed_hash(spark, sf).collect()}
     assert got == {k: (64, 1.0) for k in texts(sf, "benchmark", "item_id")}
+
+
+def test_question_entities_of_texts(spark, tmp_path):
+    """Every pattern meets every row, and references in the texts themselves come out, in the query as in its SQL."""
+    rows = [
+        (10, "См. ГЛАВУ 3.1, раздела 2 и ТАБЛ.Б4; НП 7—8, НП5-1, СТО 1 2-3, сп 5.3-2009а, пуэ\nПУЭ. п.9, ПУЭ7, ап. 6, таблице 4а, Пункт　1.2.", 20),
+        (11, None, 0), (12, "\x01СП\x015 СП 5.", 7), (-4, "главы 1", 7), (13, "глава 5", None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = lambda a, b, c: ["", f"глава {b}|п. {c}|раздел {c}.1|сто {a} {b}-01", "", "", f"нп-{b}-15|пуэ", f"таблица а{b}", ""]
+    firsts = {
+        10: "глава 3.1|нп 7-8|нп5-1|п. 1.2|п. 9|пуэ|раздел 2|сп 10.13130-2009|сп 5.3|сто 1 2-3|таблица 20|таблица б4",
+        11: "п. 2.2|сп 11.13130-2009|таблица 0", 12: "п. 3.2|сп 12.13130-2009|сп 5|таблица 7", -4: "глава 1|таблица 7", 13: "",
+    }
+    want = {(k, i + 1): x for k, _, b in rows for i, x in enumerate(own(k, b, k % 9))} | {(k, 1): x for k, x in firsts.items()}
+    want |= {(-4, 2): "глава 7"} | {(13, i): "" for i in (2, 5, 6)}
+    got = [tuple(r) for r in catalogue.queries()["question_entities"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    said = con.sql(oracles.oracle_sql()["question_entities"]).fetchall()
+    assert len(got) == len(said) == len(want)
+    assert {r[:2]: r[2] for r in got} == want
+    assert {r[:2]: r[2] for r in said} == want
